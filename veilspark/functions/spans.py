@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .. import catalog
 from ..catalog import SpanPattern
-from . import dialect
+from . import dialect, gates
 
 SENT_OPEN = "\u0001"
 SENT_CLOSE = "\u0002"
@@ -114,21 +114,32 @@ def spans_from_lengths(lens: Column, original: Column, entity_type: str | Column
 
 
 def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPattern], out_col: str,
-                       source: int = 0, ord_offset: int = 0, raw: bool = False) -> DataFrame:
+                       source: int = 0, ord_offset: int = 0, raw: bool = False, gated: bool = True) -> DataFrame:
     """Add ``out_col`` = spans of every pattern, concatenated in catalogue order.
 
-    Two projections: the first runs each regex once and keeps only the int
-    length arrays; the second turns them into spans.  Keeping them apart stops
-    the optimizer from inlining a regex into a lambda body.  ``raw``: text may
-    contain the sentinel characters (detect path on unsanitised input).
+    Projections: (0) per-row gate inputs (lower-cased text, digit and
+    special-fold flags), (1) each regex once, skipped where its gate is false,
+    keeping only int length arrays, (2) lengths -> spans.  Keeping the stages
+    apart stops the optimizer from inlining a regex into a lambda body.
+    ``raw``: text may contain the sentinel characters (detect path on
+    unsanitised input).
     """
-    scan = safe_text(F.col(text_col)) if raw else F.col(text_col)
+    text = F.col(text_col)
+    scan = safe_text(text) if raw else text
     tmp = [f"__lens_{out_col}_{i}" for i in range(len(patterns))]
-    staged = df.select("*", *[
-        marked_lengths(scan, dialect.three_group_java(p.regex, p.group)).alias(t)
-        for p, t in zip(patterns, tmp)
-    ])
-    pieces = [spans_from_lengths(F.col(t), F.col(text_col), p.entity_type, p.score, source, ord_offset + i)
+    gcols = [f"__g_{out_col}_{k}" for k in ("low", "special", "digit")]
+    if gated:
+        low, special, digit = gates.gate_inputs(text)
+        df = df.select("*", low.alias(gcols[0]), special.alias(gcols[1]), digit.alias(gcols[2]))
+    lens = []
+    for p, t in zip(patterns, tmp):
+        expr = marked_lengths(scan, dialect.three_group_java(p.regex, p.group))
+        g = gates.gate(p, text, *[F.col(c) for c in gcols]) if gated else None
+        if g is not None:
+            expr = F.when(g, expr).otherwise(F.array(F.length(text)))
+        lens.append(expr.alias(t))
+    staged = df.select(*[c for c in df.columns if c not in gcols], *lens)
+    pieces = [spans_from_lengths(F.col(t), text, p.entity_type, p.score, source, ord_offset + i)
               for i, (p, t) in enumerate(zip(patterns, tmp))]
     out = F.concat(*pieces) if pieces else empty_spans()
     return staged.select(*[c for c in staged.columns if c not in tmp], out.alias(out_col))

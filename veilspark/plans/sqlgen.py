@@ -24,9 +24,23 @@ def _flags(flags: str, extra: str) -> str:
     return f"(?{f})" if f else ""
 
 
+# RE2 has no possessive quantifiers.  For the parcel pattern the possessive
+# tail changes matches: the run of [-A-Z0-9./] is taken whole and must then
+# sit on a word boundary, so a value is never shortened to end before a
+# trailing '.', '-' or '/'.  Equivalent RE2 (for ASCII text): the maximal run
+# must end in a letter or digit and be followed by a non-run, non-word char.
+_PARCEL = next(p for p in catalog.LAYER1_PATTERNS if p.entity_type == "PARCEL_NUMBER")
+_RE2_VALUE_OVERRIDES = {
+    _PARCEL.regex: ("[A-Z0-9][-A-Z0-9./]{3,23}[A-Z0-9]", "(?:$|[^-A-Za-z0-9./_])"),
+}
+
+
 def re2_three(p: SpanPattern, extra_flags: str = "") -> str:
     flags, pre, val, post = dialect.three_group_parts(p.regex, p.group)
-    return f"{_flags(flags, extra_flags)}({dialect.re2(pre)})({dialect.re2(val)})({dialect.re2(post)})"
+    val2, post2 = dialect.re2(val), dialect.re2(post)
+    if p.regex in _RE2_VALUE_OVERRIDES:
+        val2, post2 = _RE2_VALUE_OVERRIDES[p.regex]
+    return f"{_flags(flags, extra_flags)}({dialect.re2(pre)})({val2})({post2})"
 
 
 def re2_full(p: str) -> str:

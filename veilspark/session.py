@@ -47,3 +47,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def spread(df, min_partitions: int | None = None):
+    """Ensure a text table is split over at least the cluster's parallelism.
+
+    A scan already yields one partition per file split, which on a cluster
+    is far more than the core count, so this is a no-op there; small inputs
+    (one file, one row group) would otherwise run every regex in one task.
+    """
+    if df.isStreaming:
+        return df
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .tables import table
 
 # (lang, prefix pieces, suffix pieces); a piece is a literal or ("sha", n)
@@ -40,7 +41,7 @@ def _sql_piece(p):
 
 
 def dirty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     expr = None
     for lang, (pre, suf) in VARIANTS.items():
         body = F.concat(*[_spark_piece(p) for p in pre], F.col("text"), *[_spark_piece(p) for p in suf])
