@@ -12,6 +12,7 @@ from ..operators import detect as D
 from ..sources import notes as N
 from ..sources import tables
 from . import sqlgen
+from ..functions.rows import explode_rows
 from .registry import register
 
 NOTES = f"({N.notes_sql()})"
@@ -19,7 +20,7 @@ NOTES = f"({N.notes_sql()})"
 
 def _long(df: DataFrame, id_col: str, spans_col: str, id_alias: str = "note_id") -> DataFrame:
     """Array of spans -> one row per span with flat scalar columns."""
-    e = df.select(F.col(id_col).alias(id_alias), F.explode(spans_col).alias("sp"))
+    e = explode_rows(df, [F.col(id_col).alias(id_alias)], spans_col, "sp")
     return e.select(
         F.col(id_alias).cast("bigint").alias(id_alias),
         F.col("sp.entity_type").alias("entity_type"),
@@ -149,7 +150,7 @@ FROM {_merged_only_sql()} GROUP BY et"""
 def allow_effect(spark, sf):
     """Per type, merged winners preserved by the allow-list vs redacted."""
     d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True, allow_patterns=())
-    e = d.select(F.explode("sp").alias("s")).select(
+    e = explode_rows(d, [], "sp", "s").select(
         F.col("s.entity_type").alias("entity_type"), S.allow_match(F.col("s.text")).alias("allowed"))
     return e.groupBy("entity_type").agg(
         F.sum(F.col("allowed").cast("int")).cast("bigint").alias("n_preserved"),
@@ -202,7 +203,7 @@ def _external_spans(spark, sf) -> DataFrame:
     form, tagged with the recogniser type name ``LOCATION``)."""
     pat = D.gazetteer_pattern(_gazetteer_terms(spark, sf), "LOCATION", 0.85)
     n = S.with_pattern_spans(N.notes(spark, sf).select("note_id", "text"), "text", [pat], "sp", source=1, raw=True)
-    return n.select(F.col("note_id").alias("doc_id"), F.explode("sp").alias("s")).select(
+    return explode_rows(n, [F.col("note_id").alias("doc_id")], "sp", "s").select(
         "doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("start"),
         F.col("s.end").alias("end"), F.col("s.score").alias("score"))
 
@@ -258,3 +259,68 @@ def detect_documents(spark, sf):
     d = tables.documents(spark, sf)
     n = S.with_pattern_spans(d, "text", _DOC_PATS, "sp", 0, raw=True)  # one scan, all three patterns
     return _long(n, "doc_id", "sp", "doc_id")
+
+
+# ------------------------------------------------------------ request schema
+_LANG_CONTEXT = {"en": "general", "fr": "tax_return", "de": "mortgage", "es": "estate_planning"}
+
+
+def _requests(spark, sf) -> DataFrame:
+    """Requests (doc_id, text, context): each document with a context taken
+    from its language; Spanish rows carry a context outside the allowed set."""
+    ctx = F.create_map(*[F.lit(x) for kv in _LANG_CONTEXT.items() for x in kv])
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return d.select("doc_id", "text", ctx[F.col("lang")].alias("context"))
+
+
+_REQ_SQL = f"""SELECT CASE WHEN text IS NULL THEN 'missing_text' WHEN length(text) > {catalog.MAX_REQUEST_CHARS}
+            THEN 'text_too_long' WHEN coalesce(context, 'general') NOT IN
+            ({', '.join(sqlgen.lit(c) for c in catalog.CONTEXT_ENTITIES)}) THEN 'unknown_context' END AS reject_reason,
+       CAST(count(*) AS BIGINT) AS n
+FROM (SELECT text, CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANG_CONTEXT.items())} END AS context
+      FROM documents)
+GROUP BY 1"""
+
+
+@register("request_schema", _REQ_SQL)
+def request_schema(spark, sf):
+    """IO2: schema enforcement split into accepted and quarantined rows
+    (reason per row; nothing dropped)."""
+    ok, bad = tables.split_requests(_requests(spark, sf))
+    return (ok.select(F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(bad.select("reject_reason"))
+            .groupBy("reject_reason").agg(F.count("*").cast("bigint").alias("n")))
+
+
+# ------------------------------------------------------- type canonicalisation
+_EXT_NAMES = {"EMAIL": "EMAIL_ADDRESS", "US_PHONE": "PHONE_NUMBER", "CREDIT_CARD": "CREDIT_CARD"}
+
+
+def _model_style_spans(spark, sf) -> DataFrame:
+    """A model-style span table over the corpus: e-mail/phone/card spans found
+    by a separate pass and labelled with the recogniser library's names."""
+    pats = [p for p in catalog.LAYER1_PATTERNS if p.entity_type in _EXT_NAMES]
+    d = S.with_pattern_spans(tables.documents(spark, sf).select("doc_id", "text"), "text", pats, "sp", 1, raw=True)
+    names = F.create_map(*[F.lit(x) for kv in _EXT_NAMES.items() for x in kv])
+    return explode_rows(d, ["doc_id"], "sp", "s").select(
+        "doc_id", names[F.col("s.entity_type")].alias("entity_type"), F.col("s.start").alias("start"),
+        F.col("s.end").alias("end"), F.col("s.score").alias("score"))
+
+
+def _canonical_sql() -> str:
+    pats = [p for p in catalog.LAYER1_PATTERNS if p.entity_type in _EXT_NAMES]
+    union = "\nUNION ALL\n".join(sqlgen.pattern_spans_sql("documents", "doc_id", "text", p, 1, i)
+                                 for i, p in enumerate(pats))
+    return (f"SELECT CAST(id AS BIGINT) AS doc_id, et AS entity_type, CAST(s AS BIGINT) AS pos_start, "
+            f"CAST(e AS BIGINT) AS pos_end FROM ({union})")
+
+
+@register("type_canonical", _canonical_sql())
+def type_canonical(spark, sf):
+    """L4 (+L9 on pre-canonical names): external spans named EMAIL_ADDRESS /
+    PHONE_NUMBER come out as EMAIL / US_PHONE after the context filter."""
+    docs = attach_external_spans(tables.documents(spark, sf), _model_style_spans(spark, sf), "doc_id", "ext")
+    rec = D.filter_recogniser_side(D.external_to_spans(F.col("ext"), F.col("text")), F.col("context"))
+    out = explode_rows(docs.select("doc_id", rec.alias("rec")), ["doc_id"], "rec", "s")
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("s.entity_type").alias("entity_type"),
+                      F.col("s.start").cast("bigint").alias("pos_start"), F.col("s.end").cast("bigint").alias("pos_end"))

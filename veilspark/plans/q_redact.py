@@ -16,6 +16,7 @@ from ..session import checkpoint_dir
 from ..sources import notes as N
 from ..sources import tables
 from . import sqlgen
+from ..functions.rows import explode_rows
 from .registry import register
 
 lit = dialect.sql_literal
@@ -71,7 +72,7 @@ def placeholder_number(spark, sf):
     """First-seen text dictionary + per-type counters, one entry per
     occurrence (in-row numbering; the SQL side uses window functions)."""
     r = redacted_notes(spark, sf)
-    e = r.select("note_id", F.explode("manifest.placeholders").alias("p"))
+    e = explode_rows(r, ["note_id"], "manifest.placeholders", "p")
     return e.select(F.col("note_id").cast("bigint").alias("note_id"),
                     F.col("p.start").cast("bigint").alias("pos_start"), F.col("p.end").cast("bigint").alias("pos_end"),
                     F.col("p.placeholder").alias("placeholder"), F.col("p.original").alias("original"),
@@ -86,7 +87,7 @@ FROM {_NOTES_ENT} GROUP BY id, et"""
 def manifest_stats(spark, sf):
     """Per-document type histogram from the manifest (map -> long form)."""
     r = redacted_notes(spark, sf)
-    e = r.select("note_id", F.explode("manifest.stats.entities_by_type").alias("entity_type", "n"))
+    e = explode_rows(r, ["note_id"], "manifest.stats.entities_by_type", ("entity_type", "n"))
     return e.select(F.col("note_id").cast("bigint").alias("note_id"), "entity_type", F.col("n").cast("bigint").alias("n"))
 
 
@@ -184,7 +185,7 @@ GROUP BY label"""
 def injection_report(spark, sf):
     """Notes per injection label and the mean score of those notes."""
     s = SC.screen(sanitize(N.notes(spark, sf).select("note_id", "text"), "text"), "text")
-    e = s.select(F.explode("injection_patterns").alias("label"), "injection_score")
+    e = explode_rows(s, ["injection_score"], "injection_patterns", "label")
     return e.groupBy("label").agg(F.count("*").cast("bigint").alias("n_notes"),
                                   F.round(F.avg("injection_score"), 4).alias("mean_score"))
 
@@ -197,7 +198,7 @@ FROM (SELECT unnest({_LABELS}) AS label FROM (SELECT text FROM documents)) GROUP
 def injection_documents(spark, sf):
     """Injection screening over the raw corpus (whole texts)."""
     s = SC.screen(tables.documents(spark, sf).select("doc_id", "text"), "text")
-    return s.select(F.explode("injection_patterns").alias("label")).groupBy("label").agg(
+    return explode_rows(s, [], "injection_patterns", "label").groupBy("label").agg(
         F.count("*").cast("bigint").alias("n_docs"))
 
 
@@ -240,6 +241,6 @@ def leak_audit(spark, sf):
     5+ characters is reported as a leak, per type (audit sensitivity check)."""
     r = redacted_notes(spark, sf).select("note_id", "text", "manifest")
     a = A.audit(r, "text", "manifest")
-    w = a.select(F.explode("output_warnings").alias("w")).filter(F.col("w").startswith("pii_leak:"))
+    w = explode_rows(a, [], "output_warnings", "w").filter(F.col("w").startswith("pii_leak:"))
     return w.select(F.substring_index("w", ":", -1).alias("entity_type")).groupBy("entity_type").agg(
         F.count("*").cast("bigint").alias("n_leaks"))

@@ -11,6 +11,7 @@ from ..operators.normalize import nfc
 from ..sources import notes as N
 from ..sources import tables
 from . import sqlgen
+from ..functions.rows import explode_rows
 from .registry import register
 
 _DOCS_SRC = "(SELECT doc_id, nfc_normalize(text) AS text, 'general' AS context, lang, source FROM documents)"
@@ -30,7 +31,7 @@ GROUP BY ROLLUP (d.lang, d.source, x.et)"""
 @register("pii_profile_rollup", _ROLLUP_SQL)
 def pii_profile_rollup(spark, sf):
     """Detected entities by language x source x type with subtotals."""
-    e = detected_documents(spark, sf).select("lang", "source", F.explode("sp").alias("s"))
+    e = explode_rows(detected_documents(spark, sf), ["lang", "source"], "sp", "s")
     return e.rollup("lang", "source", F.col("s.entity_type").alias("entity_type")).agg(
         F.count("*").cast("bigint").alias("n"))
 
@@ -60,7 +61,7 @@ def repeated_values(spark, sf):
     Partial aggregation runs map-side; only one row per distinct value crosses
     the shuffle."""
     d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True)
-    e = d.select("note_id", F.explode("sp").alias("s")).select(
+    e = explode_rows(d, ["note_id"], "sp", "s").select(
         "note_id", F.col("s.text").alias("x"), F.col("s.entity_type").alias("entity_type"))
     g = e.groupBy("x", "entity_type").agg(F.count("*").cast("bigint").alias("n"),
                                           F.countDistinct("note_id").cast("bigint").alias("n_notes"))
@@ -107,7 +108,7 @@ def conversation_entries(spark, sf) -> DataFrame:
     c = c.select("conv_id", "turn", _conv_text(F.col("text"), F.col("conv_id"), F.col("turn"), F.col("role"))
                  .alias("text"), F.lit("general").alias("context"))
     d = D.detect_spans(c, "text", "context", "sp", raw=True)
-    e = d.select("conv_id", "turn", F.explode("sp").alias("s")).select(
+    e = explode_rows(d, ["conv_id", "turn"], "sp", "s").select(
         "conv_id", "turn", F.col("s.start").alias("pos_start"), F.col("s.end").alias("pos_end"),
         F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("x"))
     # first occurrence of each text in the conversation (min by (turn, start))

@@ -10,6 +10,7 @@ from ..operators import normalize
 from ..operators.sanitize import rejection, sanitize
 from ..sources import dirty, tables
 from . import sqlgen
+from ..functions.rows import explode_rows
 from .registry import register
 
 DIRTY = f"({dirty.dirty_documents_sql()})"
@@ -83,8 +84,7 @@ def sanitize_report(spark, sf):
     """Documents per sanitiser action and bytes removed by the whole chain."""
     d = dirty.dirty_documents(spark, sf).withColumn("raw_bytes", F.octet_length("text"))
     s = sanitize(d, "text")
-    e = s.select(F.explode("actions").alias("action"),
-                 (F.col("raw_bytes") - F.octet_length("text")).alias("bytes_removed"))
+    e = explode_rows(s, [(F.col("raw_bytes") - F.octet_length("text")).alias("bytes_removed")], "actions", "action")
     return e.groupBy("action").agg(F.count("*").cast("bigint").alias("n_docs"),
                                    F.sum("bytes_removed").cast("bigint").alias("bytes_removed"))
 
