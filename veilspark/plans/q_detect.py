@@ -324,3 +324,33 @@ def type_canonical(spark, sf):
     out = explode_rows(docs.select("doc_id", rec.alias("rec")), ["doc_id"], "rec", "s")
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("s.entity_type").alias("entity_type"),
                       F.col("s.start").cast("bigint").alias("pos_start"), F.col("s.end").cast("bigint").alias("pos_end"))
+
+
+def _place_terms(spark, sf) -> DataFrame:
+    return (tables.table(spark, sf, "nation").select(F.col("n_name").alias("term"))
+            .unionByName(tables.table(spark, sf, "region").select(F.col("r_name").alias("term")))
+            .filter(F.col("term").isNotNull()).distinct()
+            .select("term", F.lit("LOCATION").alias("entity_type"), F.lit(0.85).alias("score")))
+
+
+def _gaz_join_sql() -> str:
+    # every 1..3-word window whose case-folded text is a place name
+    words = sqlgen.pattern_spans_sql(NOTES, "note_id", "text", SpanPattern("WORD", r"\w+", 0.0), 1, 0)
+    terms = ("(SELECT DISTINCT lower(t) AS key FROM (SELECT n_name AS t FROM nation UNION ALL "
+             "SELECT r_name FROM region) WHERE t IS NOT NULL)")
+    return f"""WITH w AS (SELECT id, s, e, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM ({words})),
+g AS (SELECT a.id, a.s, b.e FROM w a JOIN w b ON b.id = a.id AND b.k BETWEEN a.k AND a.k + 2),
+t AS (SELECT note_id, text FROM {NOTES})
+SELECT CAST(g.id AS BIGINT) AS note_id, 'LOCATION' AS entity_type, CAST(g.s AS BIGINT) AS pos_start,
+       CAST(g.e AS BIGINT) AS pos_end
+FROM g JOIN t ON t.note_id = g.id JOIN {terms} d ON d.key = lower(substring(t.text, g.s + 1, g.e - g.s))"""
+
+
+@register("detect_gazetteer_join", _gaz_join_sql())
+def detect_gazetteer_join(spark, sf):
+    """L2 re-aimed, dictionary form: word n-grams joined to the place-name
+    table (broadcast only under a proven row bound)."""
+    from ..operators.gazetteer import dictionary_spans
+    s = dictionary_spans(N.notes(spark, sf).select("note_id", "text"), _place_terms(spark, sf), "note_id")
+    return s.select(F.col("note_id").cast("bigint").alias("note_id"), "entity_type",
+                    F.col("start").cast("bigint").alias("pos_start"), F.col("end").cast("bigint").alias("pos_end"))
