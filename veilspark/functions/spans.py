@@ -114,7 +114,8 @@ def spans_from_lengths(lens: Column, original: Column, entity_type: str | Column
 
 
 def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPattern], out_col: str,
-                       source: int = 0, ord_offset: int = 0, raw: bool = False, gated: bool = True) -> DataFrame:
+                       source: int = 0, ord_offset: int = 0, raw: bool = False, gated: bool = True,
+                       wanted=None) -> DataFrame:
     """Add ``out_col`` = spans of every pattern, concatenated in catalogue order.
 
     Projections: (0) per-row gate inputs (lower-cased text, digit and
@@ -122,7 +123,9 @@ def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPatt
     keeping only int length arrays, (2) lengths -> spans.  Keeping the stages
     apart stops the optimizer from inlining a regex into a lambda body.
     ``raw``: text may contain the sentinel characters (detect path on
-    unsanitised input).
+    unsanitised input).  ``wanted(entity_type) -> Column``: optional per-row
+    condition; where false the pattern is not run (its spans would be
+    discarded anyway, e.g. by the context filter).
     """
     text = F.col(text_col)
     scan = safe_text(text) if raw else text
@@ -135,6 +138,9 @@ def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPatt
     for p, t in zip(patterns, tmp):
         expr = marked_lengths(scan, dialect.three_group_java(p.regex, p.group))
         g = gates.gate(p, text, *[F.col(c) for c in gcols]) if gated else None
+        if wanted is not None:
+            w = wanted(p.entity_type)
+            g = w if g is None else (w & g)
         if g is not None:
             expr = F.when(g, expr).otherwise(F.array(F.length(text)))
         lens.append(expr.alias(t))

@@ -92,7 +92,9 @@ def with_recogniser_spans(df: DataFrame, text_col: str, context_col: str, out_co
                           patterns: Sequence[SpanPattern] = catalog.LAYER3_PATTERNS, raw: bool = False) -> DataFrame:
     """Layer 3 financial recognisers, only for contexts that request them."""
     pats = [_recogniser_pattern(p) for p in patterns]
-    staged = S.with_pattern_spans(df, text_col, pats, "__rec_all", source=1, ord_offset=_L3_ORD, raw=raw)
+    # a recogniser whose type the row's context does not request is not run
+    staged = S.with_pattern_spans(df, text_col, pats, "__rec_all", source=1, ord_offset=_L3_ORD, raw=raw,
+                                  wanted=lambda et: F.array_contains(context_types(F.col(context_col)), et))
     boosted = staged.withColumn(
         "__rec_boost", _context_boost(F.col("__rec_all"), F.col(text_col), catalog.CUSIP_CONTEXT_WORDS))
     return boosted.withColumn(out_col, _drop_contained(F.col("__rec_boost"))).drop("__rec_all", "__rec_boost")
