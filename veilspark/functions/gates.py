@@ -53,19 +53,23 @@ KEYWORDS: dict[str, tuple[tuple[str, ...], bool]] = {
 }
 # patterns that need at least one decimal digit somewhere in the match
 NEEDS_DIGIT = {"CREDIT_CARD", "US_SSN", "EIN", "US_PHONE", "STREET_ADDRESS", "CUSIP"}
+# keyword patterns whose value also requires a digit (\d in the value)
+KEYWORD_AND_DIGIT = {"DATE_OF_BIRTH", "ACCOUNT_NUMBER", "US_ROUTING", "DRIVERS_LICENSE", "NMLS_ID",
+                     "MERS_MIN", "FHA_CASE_NUMBER", "CRM_ID", "ACCOUNT_REF"}
 
 FOLD_SPECIAL = "[\u0131\u017f\u212a\u0130]"
 _ANY_DIGIT = "(?U)\\d"
 
 
-def _by_body() -> dict[str, tuple[tuple[str, ...], bool] | str]:
+def _by_body() -> dict[str, tuple | str]:
     """Gate per catalogue pattern *body* (flags stripped), so a user pattern
     that reuses a type name with a different regex is never gated."""
-    out: dict[str, tuple[tuple[str, ...], bool] | str] = {}
+    out: dict[str, tuple | str] = {}
     for p in catalog.LAYER1_PATTERNS + catalog.LAYER3_PATTERNS:
         body = dialect.split_flags(p.regex)[1]
         if p.entity_type in KEYWORDS:
-            out[body] = KEYWORDS[p.entity_type]
+            lits, cs = KEYWORDS[p.entity_type]
+            out[body] = (lits, cs, p.entity_type in KEYWORD_AND_DIGIT)
         elif p.entity_type in NEEDS_DIGIT:
             out[body] = "digit"
     return out
@@ -82,14 +86,15 @@ def gate(pattern: SpanPattern, text: Column, lowered: Column, special: Column, h
         return None
     if g == "digit":
         return has_digit
-    lits, case_sensitive = g
+    lits, case_sensitive, digit = g
     case_sensitive = case_sensitive and "i" not in flags
     hay = text if case_sensitive else lowered
     cond = None
     for lit in lits:
         c = F.instr(hay, lit if case_sensitive else lit.lower()) > 0
         cond = c if cond is None else (cond | c)
-    return cond if case_sensitive else (cond | special)
+    cond = cond if case_sensitive else (cond | special)
+    return (cond & has_digit) if digit else cond
 
 
 def gate_inputs(text: Column) -> tuple[Column, Column, Column]:

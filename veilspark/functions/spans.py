@@ -102,15 +102,17 @@ def marked_lengths(text: Column, java_three_group: str) -> Column:
 
 def spans_from_lengths(lens: Column, original: Column, entity_type: str | Column, score: float | Column,
                        source: int, ord_: int | Column) -> Column:
-    """``lens`` must be a column *reference* (it is read several times)."""
+    """``lens`` must be a column *reference* (it is read several times).
+    A single part means no match: the scan/zip pipeline is skipped."""
     incl = prefix_sums(lens)
     starts = F.filter(F.zip_with(incl, lens, lambda c, l: c - l), lambda _x, i: i % 2 == 1)
     vlens = F.filter(lens, lambda _x, i: i % 2 == 1)
-    return F.zip_with(
+    spans = F.zip_with(
         starts, vlens,
         lambda st, ln: make_span(entity_type, st, st + ln, score,
                                  F.substring(original, st + 1, ln), source, ord_),
     )
+    return F.when(F.size(lens) > 1, spans).otherwise(empty_spans())
 
 
 def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPattern], out_col: str,
@@ -128,16 +130,23 @@ def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPatt
     discarded anyway, e.g. by the context filter).
     """
     text = F.col(text_col)
-    scan = safe_text(text) if raw else text
     tmp = [f"__lens_{out_col}_{i}" for i in range(len(patterns))]
     gcols = [f"__g_{out_col}_{k}" for k in ("low", "special", "digit")]
+    pre = []
     if gated:
         low, special, digit = gates.gate_inputs(text)
-        df = df.select("*", low.alias(gcols[0]), special.alias(gcols[1]), digit.alias(gcols[2]))
+        pre += [low.alias(gcols[0]), special.alias(gcols[1]), digit.alias(gcols[2])]
+    scan_col = f"__scan_{out_col}"
+    if raw:  # computed once, read by every pattern
+        pre.append(safe_text(text).alias(scan_col))
+        gcols = gcols + [scan_col]
+    if pre:
+        df = df.select("*", *pre)
+    scan = F.col(scan_col) if raw else text
     lens = []
     for p, t in zip(patterns, tmp):
         expr = marked_lengths(scan, dialect.three_group_java(p.regex, p.group))
-        g = gates.gate(p, text, *[F.col(c) for c in gcols]) if gated else None
+        g = gates.gate(p, text, *[F.col(c) for c in gcols[:3]]) if gated else None
         if wanted is not None:
             w = wanted(p.entity_type)
             g = w if g is None else (w & g)
@@ -182,12 +191,23 @@ def merge_fold(sorted_spans: Column) -> Column:
 
 
 # ------------------------------------------------------------ allow-list
+def combined_fullmatch(patterns: Sequence[str]) -> str:
+    r"""One anchored alternation equivalent to "any pattern fully matches":
+    when ``\z`` fails after one alternative the engine backtracks into the
+    next, so ``\A(?:a|b)\z`` matches iff ``a`` or ``b`` matches the whole
+    text.  Leading inline flags stay scoped to their own alternative."""
+    alts = []
+    for p in patterns:
+        flags, body = dialect.split_flags(p)
+        alts.append(f"(?{flags}:{body})" if flags else f"(?:{body})")
+    return f"(?Ud)\\A(?:{'|'.join(alts)})\\z"
+
+
 def allow_match(text: Column, allow_patterns: Sequence[str] = catalog.ALLOW_PATTERNS) -> Column:
     """True iff ``text`` fully matches any allow pattern."""
-    cond = F.lit(False)
-    for p in allow_patterns:
-        cond = cond | text.rlike(dialect.java_fullmatch(p))
-    return cond
+    if not allow_patterns:
+        return F.lit(False)
+    return text.rlike(combined_fullmatch(allow_patterns))
 
 
 def allow_filter(spans: Column, allow_patterns: Sequence[str] = catalog.ALLOW_PATTERNS) -> Column:

@@ -1,32 +1,25 @@
-"""NFC normalisation.
+"""NFC normalisation (N1), JVM-side.
 
-Spark has no NFC builtin, so this is the one text step that crosses into
-Python.  Text made only of code points below U+0300 is already NFC, and
-most corpus rows are like that: the UDF's input is ``NULL`` for them, so the
-Arrow batch carries only the rows that can change and everything else stays
-in the JVM (``coalesce`` with the original).
+Spark has no NFC function, but it ships ICU4J (used for collations), and the
+built-in ``java_method`` can call its static ``Normalizer.compose(text,
+false)`` (canonical composition = NFC).  Text made only of code points below
+U+0300 is already NFC, so the call is made only for rows containing anything
+at or above U+0300; everything stays in the JVM (no Python worker).
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Anything at or above U+0300 (combining marks and beyond) may need composition.
 _MAY_CHANGE = "[^\\x{0}-\\x{2FF}]"
-
-
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+_ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def nfc(text: Column) -> Column:
-    return F.coalesce(_nfc(F.when(text.rlike(_MAY_CHANGE), text)), text)
+    composed = F.java_method(F.lit(_ICU_NORMALIZER), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(_MAY_CHANGE), composed).otherwise(text)
 
 
 def normalize(df: DataFrame, text_col: str = "text") -> DataFrame:
