@@ -46,3 +46,22 @@ def test_stream_equals_batch(spark):
     b = {r.event_id: (r.allowed, r.retry_after) for r in q_admission.token_bucket(spark, SF).collect()}
     s = {r.event_id: (r.allowed, r.retry_after) for r in q_admission.token_bucket_stream(spark, SF).collect()}
     assert b == s
+
+
+def test_hot_key_split_across_partitions(spark):
+    import random
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(3000):                      # one key holds most of the events
+        t += rnd.choice([0.2, 0.5, 1.0, 3.0, 40.0, 2000.0])
+        rows.append((i, base + dt.timedelta(seconds=t), 1))
+    for i in range(3000, 3600):
+        rows.append((i, base + dt.timedelta(seconds=rnd.uniform(0, t)), rnd.randint(2, 9)))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    for rpm, burst in [(60, 3), (6, 2)]:
+        got = {r.id: (r.allowed, r.retry_after) for r in
+               admission.token_bucket(df, "user_id", "ts", "event_id", rpm=rpm, burst=burst, partitions=16).collect()}
+        assert got == _expected(rows, rpm, burst)
+    seg = admission.with_segments(df, "user_id", "ts", "event_id", 60, 3, partitions=16)
+    assert seg.filter("k = '1'").select("seg").distinct().count() > 1

@@ -10,14 +10,18 @@ evicted, i.e. the next request starts a fresh full bucket (event-time TTL).
 Parallel plan.  The fold is sequential per key, but it restarts from a known
 state (a full bucket) whenever the gap to the key's previous request is long
 enough to refill the bucket completely (``gap * rate >= burst``) or to evict
-it.  Those reset points cut every key's history into independent segments:
-
-1. one windowed pass (partitioned by key, ordered by time) marks resets and
-   numbers segments — a streaming running sum, spill-capable;
-2. rows are hash-partitioned by (key, segment), so one busy key's segments
-   spread over many tasks, sorted within partitions, and folded by
-   ``mapInPandas`` that streams Arrow batches and carries only the current
-   segment's two numbers between rows (no group is collected).
+it.  Those reset points cut every key's history into independent segments.
+
+1. Segmentation without a per-key window: events are range-partitioned on
+   (key, ts, id), so a busy key's history is split by time over many tasks,
+   and checkpointed (reliable checkpoint in ``spark.checkpoint.dir``).  Each
+   partition finds its own reset points from local gaps; the only cross-task
+   facts are one boundary row per partition (its first/last event and last
+   local reset) — P rows, collected and stitched on the driver, then passed
+   back as a P-entry dict.
+2. Fold: rows are hash-partitioned by (key, segment), sorted within
+   partitions, and folded by ``mapInPandas`` that streams Arrow batches and
+   carries only the current segment's two numbers (no group is collected).
 
 A key that is *never* idle long enough forms a single segment; that segment
 is folded in one task (streamed, bounded memory).  That is inherent to an
@@ -30,28 +34,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..session import checkpoint_dir
 
 OUT_SCHEMA = "k string, seg long, ts_s double, id long, allowed boolean, retry_after double, tokens_after double"
 
 
+def _epoch_seconds(events: DataFrame, ts_col: str):
+    if _is_numeric(events, ts_col):
+        return F.col(ts_col).cast("double")
+    return F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6
+
+
+def _resets(k: np.ndarray, ts: np.ndarray, stale: float, full: float) -> np.ndarray:
+    """Reset flag of every row but the first, from the gap to the row before."""
+    out = np.ones(len(k), dtype=bool)
+    if len(k) > 1:
+        gap = ts[1:] - ts[:-1]
+        out[1:] = (k[1:] != k[:-1]) | (gap > stale) | (gap >= full)
+    return out
+
+
 def with_segments(events: DataFrame, key_col: str, ts_col: str, id_col: str, rpm: float, burst: int,
-                  stale_seconds: float = catalog.BUCKET_STALE_SECONDS) -> DataFrame:
-    """Adds ``ts_s`` (epoch seconds) and ``seg`` (segment number within key)."""
-    rate = rpm / 60.0
-    full_refill = burst / rate
-    ts_s = (F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6) if not _is_numeric(events, ts_col) \
-        else F.col(ts_col).cast("double")
-    df = events.select(F.col(key_col).cast("string").alias("k"), ts_s.alias("ts_s"),
-                       F.col(id_col).cast("long").alias("id"))
-    w = Window.partitionBy("k").orderBy("ts_s", "id")
-    gap = F.col("ts_s") - F.lag("ts_s").over(w)
-    reset = gap.isNull() | (gap > stale_seconds) | (gap >= full_refill)
-    df = df.withColumn("reset", reset.cast("int"))
-    return df.withColumn("seg", F.sum("reset").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("reset")
+                  stale_seconds: float = catalog.BUCKET_STALE_SECONDS, partitions: int | None = None) -> DataFrame:
+    """Adds ``ts_s`` (epoch seconds) and ``seg`` (id of the segment's first event)."""
+    spark = events.sparkSession
+    checkpoint_dir(spark)
+    full = burst / (rpm / 60.0)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = events.select(F.col(key_col).cast("string").alias("k"), _epoch_seconds(events, ts_col).alias("ts_s"),
+                         F.col(id_col).cast("long").alias("id"))
+    ranged = (base.repartitionByRange(n, "k", "ts_s", "id").sortWithinPartitions("k", "ts_s", "id")
+              .withColumn("pid", F.spark_partition_id()).checkpoint())
+
+    def summarize(batches):
+        first = last = last_reset = None
+        prev = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k, ts, ids = pdf["k"].to_numpy(), pdf["ts_s"].to_numpy(dtype=np.float64), pdf["id"].to_numpy()
+            r = _resets(k, ts, stale_seconds, full)
+            if prev is None:
+                first = (pdf["pid"].iat[0], k[0], ts[0], ids[0])
+                r[0] = False            # decided on the driver
+            else:
+                g = ts[0] - prev[1]
+                r[0] = (k[0] != prev[0]) or g > stale_seconds or g >= full
+            idx = np.flatnonzero(r)
+            if len(idx):
+                j = idx[-1]
+                last_reset = (k[j], ts[j], ids[j])
+            prev = (k[-1], ts[-1], ids[-1])
+            last = prev
+        if first is not None:
+            lr = last_reset if last_reset is not None and last_reset[0] == last[0] else (None, None, None)
+            yield pd.DataFrame({"pid": [int(first[0])], "fk": [first[1]], "fts": [first[2]], "fid": [first[3]],
+                                "lk": [last[0]], "lts": [last[1]], "lid": [last[2]],
+                                "rk": [lr[0]], "rts": [lr[1]], "rid": [lr[2]]})
+
+    schema = ("pid int, fk string, fts double, fid long, lk string, lts double, lid long, "
+              "rk string, rts double, rid long")
+    summary = ranged.mapInPandas(summarize, schema).collect()   # at most one row per partition
+    entry: dict[int, tuple] = {}       # pid -> (first row continues?, segment id of first row)
+    carry = None                       # (key, last ts, open segment id) at the end of the previous partition
+    for r in sorted(summary, key=lambda x: x.pid):
+        cont = (carry is not None and carry[0] == r.fk and not (r.fts - carry[1] > stale_seconds)
+                and not (r.fts - carry[1] >= full))
+        seg0 = carry[2] if cont else r.fid
+        entry[r.pid] = (cont, seg0)
+        if r.rk is not None:
+            open_seg = r.rid
+        elif r.lk == r.fk:
+            open_seg = seg0
+        else:  # last run began at a key change, which is a local reset
+            open_seg = r.rid
+        carry = (r.lk, r.lts, open_seg)
+
+    def label(batches):
+        prev = None
+        seg = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k, ts, ids = pdf["k"].to_numpy(), pdf["ts_s"].to_numpy(dtype=np.float64), pdf["id"].to_numpy()
+            r = _resets(k, ts, stale_seconds, full)
+            if prev is None:
+                cont, seg0 = entry[int(pdf["pid"].iat[0])]
+                r[0] = not cont
+                seg = seg0
+            else:
+                g = ts[0] - prev[1]
+                r[0] = (k[0] != prev[0]) or g > stale_seconds or g >= full
+            starts = np.where(r, ids, -1)
+            # segment id = id of the latest reset row at or before each row
+            pos = np.maximum.accumulate(np.where(r, np.arange(len(k)), -1))
+            segs = np.where(pos >= 0, starts[np.maximum(pos, 0)], seg)
+            seg = segs[-1]
+            prev = (k[-1], ts[-1])
+            yield pd.DataFrame({"k": k, "ts_s": ts, "id": ids, "seg": segs.astype(np.int64)})
+
+    return ranged.mapInPandas(label, "k string, ts_s double, id long, seg long")
 
 
 def _is_numeric(df: DataFrame, col: str) -> bool:
@@ -93,7 +179,7 @@ def token_bucket(events: DataFrame, key_col: str = "user_id", ts_col: str = "ts"
                  rpm: float = catalog.DEFAULT_RPM, burst: int = catalog.DEFAULT_BURST,
                  stale_seconds: float = catalog.BUCKET_STALE_SECONDS, partitions: int | None = None) -> DataFrame:
     """Per-request decisions: ``(k, id, ts_s, allowed, retry_after, tokens_after)``."""
-    seg = with_segments(events, key_col, ts_col, id_col, rpm, burst, stale_seconds)
+    seg = with_segments(events, key_col, ts_col, id_col, rpm, burst, stale_seconds, partitions)
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = seg.repartition(n, "k", "seg").sortWithinPartitions("k", "seg", "ts_s", "id")
     return ordered.mapInPandas(_fold(rpm, burst, stale_seconds), OUT_SCHEMA).drop("seg")
