@@ -106,9 +106,9 @@ def java(pattern: str, extra_flags: str = "") -> str:
     return java_flags(flags, extra_flags) + body
 
 
-def three_group_java(pattern: str, group: int) -> str:
+def three_group_java(pattern: str, group: int, lookahead: str | None = None) -> str:
     flags, pre, val, post = three_group_parts(pattern, group)
-    return f"{java_flags(flags)}({pre})({val})({post})"
+    return f"{java_flags(flags)}{lookahead or ''}({pre})({val})({post})"
 
 
 def java_fullmatch(pattern: str) -> str:

@@ -57,6 +57,35 @@ NEEDS_DIGIT = {"CREDIT_CARD", "US_SSN", "EIN", "US_PHONE", "STREET_ADDRESS", "CU
 KEYWORD_AND_DIGIT = {"DATE_OF_BIRTH", "ACCOUNT_NUMBER", "US_ROUTING", "DRIVERS_LICENSE", "NMLS_ID",
                      "MERS_MIN", "FHA_CASE_NUMBER", "CRM_ID", "ACCOUNT_REF"}
 
+# Keyword-led patterns: the characters a match can start with.  Prefixed as a
+# lookahead ``(?=[...])`` (same flags as the pattern, so case folding is the
+# same) it lets the matcher reject most positions with one class test instead
+# of trying every keyword alternative.
+FIRST_CHARS: dict[str, str] = {
+    "DB_URL": "pmr",
+    "API_KEY": "\"'a",
+    "PASSWORD": "\"'p",
+    "SECRET_VALUE": "\"'csp",
+    "AUTH_TOKEN": "\"'arisc",
+    "MAGIC_LINK": "mrv",
+    "CRYPTO_SEED": "smr",
+    "DATE_OF_BIRTH": "db",
+    "ACCOUNT_NUMBER": "a",
+    "US_ROUTING": "rat",
+    "DRIVERS_LICENSE": "d",
+    "NMLS_ID": "nm",
+    "LOAN_NUMBER": "lmn",
+    "MERS_MIN": "m",
+    "FHA_CASE_NUMBER": "fvu",
+    "PARCEL_NUMBER": "apt",
+    "MLS_NUMBER": "ml",
+    "FILE_REFERENCE": "etcird",
+    "CRM_ID": "clra",
+    "PLATFORM_ID": "ostwvk",
+    "ACCOUNT_REF": "a",
+    "POLICY_NUMBER": "pc",
+}
+
 FOLD_SPECIAL = "[\u0131\u017f\u212a\u0130]"
 _ANY_DIGIT = "(?U)\\d"
 
@@ -76,6 +105,14 @@ def _by_body() -> dict[str, tuple | str]:
 
 
 _GATES = _by_body()
+_FIRST = {dialect.split_flags(p.regex)[1]: FIRST_CHARS[p.entity_type]
+          for p in catalog.LAYER1_PATTERNS + catalog.LAYER3_PATTERNS if p.entity_type in FIRST_CHARS}
+
+
+def lookahead(pattern: SpanPattern) -> str | None:
+    """``(?=[...])`` for a catalogue keyword pattern, else None."""
+    chars = _FIRST.get(dialect.split_flags(pattern.regex)[1])
+    return f"(?=[{chars}])" if chars else None
 
 
 def gate(pattern: SpanPattern, text: Column, lowered: Column, special: Column, has_digit: Column) -> Column | None:

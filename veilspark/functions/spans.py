@@ -145,7 +145,8 @@ def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPatt
     scan = F.col(scan_col) if raw else text
     lens = []
     for p, t in zip(patterns, tmp):
-        expr = marked_lengths(scan, dialect.three_group_java(p.regex, p.group))
+        la = gates.lookahead(p) if gated else None
+        expr = marked_lengths(scan, dialect.three_group_java(p.regex, p.group, la))
         g = gates.gate(p, text, *[F.col(c) for c in gcols[:3]]) if gated else None
         if wanted is not None:
             w = wanted(p.entity_type)
