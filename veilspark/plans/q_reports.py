@@ -141,3 +141,22 @@ def conversation_redact(spark, sf):
         "entries", F.coalesce("entries", F.array().cast("array<struct<start:int,end:int,placeholder:string>>")))
     return j.select("conv_id", "turn", R.splice(F.col("text"), F.col("entries")).alias("sanitized_text"))
 
+
+
+_PII_WINDOW_SQL = f"""SELECT strftime(o.o_orderdate, '%Y-%m') AS month, x.et AS entity_type, CAST(count(*) AS BIGINT) AS n
+FROM {sqlgen.detect_sql(_NOTES)} x JOIN orders o ON o.o_orderkey = x.id
+GROUP BY 1, 2"""
+
+
+@register("pii_rate_window", _PII_WINDOW_SQL)
+def pii_rate_window(spark, sf):
+    """Detected entities per event-time month (the note's order date) and
+    type; the spans are counted per note before the join, so only one small
+    row per (note, type) meets the orders table."""
+    d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True)
+    per_note = explode_rows(d, ["note_id"], "sp", "s").groupBy(
+        "note_id", F.col("s.entity_type").alias("entity_type")).count()
+    o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("note_id"),
+                                                  F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return per_note.join(o, "note_id").groupBy("month", "entity_type").agg(
+        F.sum("count").cast("bigint").alias("n"))
