@@ -15,7 +15,7 @@ from .. import catalog
 from ..functions import dialect
 
 
-def _steps() -> list[tuple[str, list[tuple[str, str]]]]:
+def steps() -> list[tuple[str, list[tuple[str, str]]]]:
     """(action label, [(java regex, replacement), ...]) in application order."""
     j = dialect.java
     return [
@@ -50,7 +50,7 @@ def sanitize(df: DataFrame, text_col: str = "text") -> DataFrame:
     staged = df.select(*others, rejection(F.col(text_col)).alias("error"), F.col(text_col).alias("__san_0"))
     flags: list[str] = []
     cur = "__san_0"
-    for k, (label, rewrites) in enumerate(_steps(), start=1):
+    for k, (label, rewrites) in enumerate(steps(), start=1):
         expr = F.col(cur)
         for rx, rep in rewrites:
             expr = F.regexp_replace(expr, rx, rep)

@@ -58,13 +58,17 @@ FROM {sqlgen.detect_sql(_NOTES)} GROUP BY x, et HAVING count(DISTINCT id) > 1"""
 @register("repeated_values", _REPEAT_SQL)
 def repeated_values(spark, sf):
     """Sensitive values seen in more than one note, reported by hash only.
-    Partial aggregation runs map-side; only one row per distinct value crosses
-    the shuffle."""
+
+    Two aggregation levels instead of a distinct count: (value, type, note)
+    first — spread over all notes — then (value, type) with map-side partial
+    sums, so even a value present in a third of all notes sends one partial
+    row per map task to its reducer."""
     d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True)
     e = explode_rows(d, ["note_id"], "sp", "s").select(
         "note_id", F.col("s.text").alias("x"), F.col("s.entity_type").alias("entity_type"))
-    g = e.groupBy("x", "entity_type").agg(F.count("*").cast("bigint").alias("n"),
-                                          F.countDistinct("note_id").cast("bigint").alias("n_notes"))
+    per_note = e.groupBy("x", "entity_type", "note_id").agg(F.count("*").alias("c"))
+    g = per_note.groupBy("x", "entity_type").agg(F.sum("c").cast("bigint").alias("n"),
+                                                 F.count("*").cast("bigint").alias("n_notes"))
     return g.filter(F.col("n_notes") > 1).select(F.sha2("x", 256).alias("value_hash"), "entity_type", "n", "n_notes")
 
 

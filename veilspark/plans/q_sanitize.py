@@ -18,9 +18,9 @@ lit = dialect.sql_literal
 
 
 def _step_query(name: str, label: str):
-    from ..operators.sanitize import _steps
-    idx = [lab for lab, _ in _steps()].index(label)
-    _lab, rewrites = _steps()[idx]
+    from ..operators.sanitize import steps
+    idx = [lab for lab, _ in steps()].index(label)
+    _lab, rewrites = steps()[idx]
     fn = sqlgen.sanitize_step_fns()[idx][1]
     sql = (f"SELECT CAST(doc_id AS BIGINT) AS doc_id, t1 AS text_out, (t1 <> text) AS changed "
            f"FROM (SELECT doc_id, text, {fn('text')} AS t1 FROM {DIRTY})")
@@ -54,8 +54,8 @@ _HTML_SQL = (
 def sanitize_html(spark, sf):
     """V6 then V7 on raw web pages: scripts removed with content, tags stripped."""
     p = tables.table(spark, sf, "pages").select("page_id", "html")
-    from ..operators.sanitize import _steps
-    (_l6, [(rx6, rep6)]), (_l7, [(rx7, rep7)]) = _steps()[3], _steps()[4]
+    from ..operators.sanitize import steps
+    (_l6, [(rx6, rep6)]), (_l7, [(rx7, rep7)]) = steps()[3], steps()[4]
     return p.select("page_id", F.regexp_replace(F.regexp_replace("html", rx6, rep6), rx7, rep7).alias("text_out"))
 
 

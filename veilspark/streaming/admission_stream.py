@@ -34,6 +34,9 @@ def token_bucket_stream(events: DataFrame, key_col: str = "user_id", ts_col: str
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame({"k": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
+                                "ts_s": pd.Series([], dtype="float64"), "allowed": pd.Series([], dtype=bool),
+                                "retry_after": pd.Series([], dtype="float64")})
             return
         # one key's rows of one micro-batch (bounded by the trigger size)
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_s", "id"], kind="stable")
