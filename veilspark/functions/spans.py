@@ -112,7 +112,13 @@ def spans_from_lengths(lens: Column, original: Column, entity_type: str | Column
         lambda st, ln: make_span(entity_type, st, st + ln, score,
                                  F.substring(original, st + 1, ln), source, ord_),
     )
-    return F.when(F.size(lens) > 1, spans).otherwise(empty_spans())
+    # one match (3 parts) is the common case: offsets need no scan
+    st1 = F.get(lens, 0)
+    one = F.array(make_span(entity_type, st1, st1 + F.get(lens, 1), score,
+                            F.substring(original, st1 + 1, F.get(lens, 1)), source, ord_))
+    return (F.when(F.size(lens) == 3, one)
+            .when(F.size(lens) > 3, spans)
+            .otherwise(empty_spans()))
 
 
 def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPattern], out_col: str,
