@@ -95,3 +95,13 @@ def test_allow_terms_and_context_filter_on_model_spans(spark):
     out = D.detect(df, external_col="ext").collect()[0].entities
     # "Roth" is an allow term, ORGANIZATION/NRP are not requested in the general context
     assert [(e.entity_type, e.text) for e in out] == [("PERSON", "Maria Lopez")]
+
+
+def test_user_supplied_context_table(spark):
+    from veilspark.operators import detect as D
+    text = "Policy # AB123456 and account ending in 4321"
+    df = spark.createDataFrame([(0, text, "general")], "doc_id long, text string, context string")
+    default = [e.entity_type for e in D.detect(df).collect()[0].entities]
+    custom = [e.entity_type for e in D.detect(df, contexts={"general": ("POLICY_NUMBER", "ACCOUNT_REF")})
+              .collect()[0].entities]
+    assert "POLICY_NUMBER" not in default and "POLICY_NUMBER" in custom and "ACCOUNT_REF" in custom

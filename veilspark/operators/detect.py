@@ -41,9 +41,10 @@ EXTERNAL_SPAN_TYPE = T.ArrayType(T.StructType([
 ]))
 
 
-def context_types(context: Column) -> Column:
+def context_types(context: Column, contexts: dict | None = None) -> Column:
     """Entity types requested for a context (unknown -> general)."""
-    m = F.create_map(*[x for ctx, types in catalog.CONTEXT_ENTITIES.items()
+    table = contexts or catalog.CONTEXT_ENTITIES
+    m = F.create_map(*[x for ctx, types in table.items()
                        for x in (F.lit(ctx), F.array(*[F.lit(t) for t in types]))])
     return F.coalesce(m[context], m[F.lit(catalog.DEFAULT_CONTEXT)])
 
@@ -89,12 +90,13 @@ def _drop_contained(spans: Column) -> Column:
 
 
 def with_recogniser_spans(df: DataFrame, text_col: str, context_col: str, out_col: str = "rec_spans",
-                          patterns: Sequence[SpanPattern] = catalog.LAYER3_PATTERNS, raw: bool = False) -> DataFrame:
+                          patterns: Sequence[SpanPattern] = catalog.LAYER3_PATTERNS, raw: bool = False,
+                          contexts: dict | None = None) -> DataFrame:
     """Layer 3 financial recognisers, only for contexts that request them."""
     pats = [_recogniser_pattern(p) for p in patterns]
     # a recogniser whose type the row's context does not request is not run
     staged = S.with_pattern_spans(df, text_col, pats, "__rec_all", source=1, ord_offset=_L3_ORD, raw=raw,
-                                  wanted=lambda et: F.array_contains(context_types(F.col(context_col)), et))
+                                  wanted=lambda et: F.array_contains(context_types(F.col(context_col), contexts), et))
     boosted = staged.withColumn(
         "__rec_boost", _context_boost(F.col("__rec_all"), F.col(text_col), catalog.CUSIP_CONTEXT_WORDS))
     return boosted.withColumn(out_col, _drop_contained(F.col("__rec_boost"))).drop("__rec_all", "__rec_boost")
@@ -115,9 +117,9 @@ def external_to_spans(ext: Column, text: Column, ord_offset: int = _EXT_ORD) ->
 
 
 def filter_recogniser_side(spans: Column, context: Column,
-                           allow_terms: Sequence[str] = catalog.ALLOW_TERMS) -> Column:
+                           allow_terms: Sequence[str] = catalog.ALLOW_TERMS, contexts: dict | None = None) -> Column:
     """L9 context filter (pre-canonical names), L10 allow terms, then L4."""
-    allowed = context_types(context)
+    allowed = context_types(context, contexts)
     terms = F.array(*[F.lit(t) for t in allow_terms])
     kept = F.filter(spans, lambda s: F.array_contains(allowed, s["entity_type"])
                     & ~F.array_contains(terms, s["text"]))
@@ -132,9 +134,12 @@ def detect_spans(df: DataFrame, text_col: str = "text", context_col: str = "cont
                  gazetteer: Sequence[SpanPattern] = (),
                  external_col: str | None = None,
                  allow_patterns: Sequence[str] = catalog.ALLOW_PATTERNS,
-                 allow_terms: Sequence[str] = catalog.ALLOW_TERMS) -> DataFrame:
+                 allow_terms: Sequence[str] = catalog.ALLOW_TERMS,
+                 contexts: dict | None = None) -> DataFrame:
     """N1 + R0 + L* + M1-M3 + A*: adds ``out_col`` = merged, allow-filtered
-    spans (internal layout, sorted by start, non-overlapping)."""
+    spans (internal layout, sorted by start, non-overlapping).  Every
+    catalogue (patterns, recognisers, gazetteer, allow patterns/terms,
+    context -> requested types) is an argument."""
     if normalize:
         df = df.withColumn(text_col, nfc(F.col(text_col)))
     if context_col not in df.columns:
@@ -142,7 +147,7 @@ def detect_spans(df: DataFrame, text_col: str = "text", context_col: str = "cont
     df = S.with_layer1_spans(df, text_col, "__l1", layer1, raw=raw)
     rec_parts = []
     if layer3:
-        df = with_recogniser_spans(df, text_col, context_col, "__l3", layer3, raw=raw)
+        df = with_recogniser_spans(df, text_col, context_col, "__l3", layer3, raw=raw, contexts=contexts)
         rec_parts.append(F.col("__l3"))
     if gazetteer:
         df = S.with_pattern_spans(df, text_col, list(gazetteer), "__gaz", source=1, ord_offset=_GAZ_ORD, raw=raw)
@@ -151,7 +156,7 @@ def detect_spans(df: DataFrame, text_col: str = "text", context_col: str = "cont
         rec_parts.append(external_to_spans(F.col(external_col), F.col(text_col)))
     rec = F.concat(*rec_parts) if rec_parts else S.empty_spans()
     merged = S.merge_fold(S.sort_spans(F.concat(
-        F.col("__l1"), filter_recogniser_side(rec, F.col(context_col), allow_terms))))
+        F.col("__l1"), filter_recogniser_side(rec, F.col(context_col), allow_terms, contexts))))
     temps = {"__l1", "__l3", "__gaz", "__merged"}
     out = df.select("*", merged.alias("__merged"))
     return out.select(*[c for c in out.columns if c not in temps],
