@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, simhash
 from .common import held_out, read
 
 
@@ -15,7 +15,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, max_bits=2)
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op7_language_id": op7_language_id,
 }
 
