@@ -28,6 +28,7 @@ empty result; other columns pass through.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import fresh, small_batches
 
@@ -52,12 +54,18 @@ _classes: np.ndarray | None = None
 def _class_table() -> np.ndarray:
     global _classes
     if _classes is None:
-        # The regex library follows the same Unicode version as the tokenizers' one.
-        t = np.full(0x110000, _OTHER, np.uint8)
+        kind = {"L": _LETTER, "N": _NUMBER}
+        t = np.fromiter((kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        newer = np.full(0x110000, _OTHER, np.uint8)
         every = "".join(map(chr, range(0x110000)))
-        for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
+        for pattern, k in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
             for m in regex.finditer(pattern, every):
-                t[m.start():m.end()] = kind
+                newer[m.start():m.end()] = k
+        # Where two Unicode versions differ, the tokenizers library says what it takes a character for.
+        split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+        for c in np.flatnonzero(t != newer):
+            starts = [p[1][0] for p in split(f"a{chr(c)}1")]
+            t[c] = _LETTER if 1 not in starts else _NUMBER if 2 not in starts else _OTHER
         t[_WHITE] = _SPACE
         _classes = t
     return _classes
