@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, token_counts
+from . import langid, rules, simhash, token_counts
+from .sql_rules import OP6
 from .common import held_out, read
 
 
@@ -28,10 +29,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": OP6,
+}
