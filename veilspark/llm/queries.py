@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, rules, simhash, token_counts
+from . import langid, rules, sharding, simhash, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -34,7 +34,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Small shards, so that even the smallest table needs several.
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+_OP1 = f"""
+WITH r AS (SELECT row_number() OVER () AS row, doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+                  coalesce(strlen(text), 0) AS n_bytes FROM documents),
+lv AS (SELECT row, h, n_bytes, d, h >> (60 - d)::INT AS p FROM r, range(61) t(d)),
+sz AS (SELECT row, d, sum(n_bytes) OVER w AS size, count(*) OVER w AS n FROM lv WINDOW w AS (PARTITION BY d, p)),
+leaf AS (SELECT row, min(d) AS d FROM sz WHERE size <= {SHARD_BYTES} OR n = 1 GROUP BY row)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, d::INT AS local_depth, n_bytes > {SHARD_BYTES} AS oversized,
+       CASE WHEN d = 0 THEN '-' ELSE right(lpad(bin(h >> (60 - d)::INT), 60, '0'), d::INT) END AS shard
+FROM r JOIN leaf USING (row)
+"""
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
@@ -42,5 +63,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_sharding": _OP1,
     "op6_quality_rules": OP6,
 }
