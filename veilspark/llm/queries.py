@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, rules, sharding, simhash, token_counts
+from . import langid, line_dedup, rules, sharding, simhash, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -54,8 +54,35 @@ FROM r JOIN leaf USING (row)
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, lines, i, len(regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+')) AS w
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+fwd AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i
+        AND b.upto - a.upto + a.w >= {line_dedup.MIN_WORDS} GROUP BY ALL),
+bwd AS (SELECT b.doc_id, max(a.i) AS a, b.i AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i
+        AND b.upto - a.upto + a.w >= {line_dedup.MIN_WORDS} GROUP BY b.doc_id, b.i),
+win AS (SELECT * FROM fwd UNION SELECT doc_id, a, b FROM bwd),
+txt AS (SELECT win.*, array_to_string(lines[a:b], chr(10)) AS t FROM win JOIN d USING (doc_id)),
+later AS (SELECT doc_id, a, b FROM txt QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, a) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+             coalesce(string_agg(lines[l.i], chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, k.text
+FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
@@ -64,5 +91,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_sharding": _OP1,
+    "op3_line_dedup": _OP3,
     "op6_quality_rules": OP6,
 }
