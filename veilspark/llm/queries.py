@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, rules, sharding, simhash, token_counts
+from . import langid, line_dedup, quality, rules, sharding, simhash, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -54,6 +54,13 @@ FROM r JOIN leaf USING (row)
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
+    scored = quality.score_quality(docs, quality.learn(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -82,6 +89,7 @@ FROM documents LEFT JOIN k USING (doc_id)
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
