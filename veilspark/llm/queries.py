@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, quality, rules, sharding, simhash, token_counts
+from . import html_extract, langid, line_dedup, quality, rules, sharding, simhash, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -87,6 +87,12 @@ FROM documents LEFT JOIN k USING (doc_id)
 """
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.learn_weights(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -95,6 +101,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op9_html_extract": op9_html_extract,
 }
 
 ORACLES: dict[str, str] = {
