@@ -164,15 +164,19 @@ def _is_other(path: tuple) -> set[str]:
 
 
 def _features(b: Block) -> set[str]:
-    out = {f"<{n}>" for n, _ in b.path}
+    out = {f"<{n}>" for n, _ in b.path if n not in ("html", "body")}
     for _, labels in b.path:
         out |= {f".{w}" for w in labels}
     if b.path:
         out.add(f"in {b.path[-1][0]}")
-    out.add(f"linked {4 * b.linked // max(b.words, 1)}")
+    out.add(_linked(b))
     return out
 
 
+def _linked(b: Block) -> str:
+    return f"linked {4 * b.linked // max(b.words, 1)}"
+
+
 def _prior(f: str) -> float:
     w = f.strip("<>.")
     if f.startswith("<"):
@@ -193,7 +197,7 @@ def page_counts(page: str) -> tuple[Counter, Counter] | None:
         main = any(_is_main(e) for e in b.path) and not other
         side = inside if main else outside
         # What a menu's own markup explains says nothing about lists as such.
-        for f in other or _features(b):
+        for f in other | {_linked(b)} if other else _features(b):
             side[f] += 1
         side[""] += 1
     return (inside, outside) if inside[""] and outside[""] else None
