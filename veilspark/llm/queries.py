@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, line_dedup, quality, rules, sharding, simhash, token_counts
+from . import decontam, html_extract, langid, line_dedup, quality, rules, sharding, simhash, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -93,6 +93,13 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks")).select("doc_id", "item_id", "windows", "share")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -102,6 +109,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op9_html_extract": op9_html_extract,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
