@@ -70,19 +70,24 @@ class Reader:
 
     def __init__(self):
         self.index: dict[str, tuple[int, ...]] = {}
-        self.hash: list[int] = []
-        self.kind: list[int] = []  # _LITERAL, _NUMBER or _UNIT (if after a number)
-        self.title: list[bool] = []
-        self.ends: list[bool] = []
-        self._arrays = None
+        self.n = 0
+        self._grow(1 << 12)
+
+    def _grow(self, size: int) -> None:
+        # hash of the plain word; kind (a unit only after a number); capitalised; ends its sentence
+        new = np.zeros(size, np.uint64), np.zeros(size, np.int8), np.zeros(size, bool), np.zeros(size, bool)
+        if self.n:
+            for a, b in zip(new, (self.hash, self.kind, self.title, self.ends), strict=True):
+                a[:self.n] = b[:self.n]
+        self.hash, self.kind, self.title, self.ends = new
 
     def _entry(self, plain: str, kind: int, title: bool, ends: bool) -> int:
-        self.hash.append(_hash(plain))
-        self.kind.append(kind)
-        self.title.append(title)
-        self.ends.append(ends)
-        self._arrays = None
-        return len(self.hash) - 1
+        if self.n == len(self.hash):
+            self._grow(2 * self.n)
+        i = self.n
+        self.hash[i], self.kind[i], self.title[i], self.ends[i] = _hash(plain), kind, title, ends
+        self.n += 1
+        return i
 
     def read(self, word: str) -> tuple[int, ...]:
         """Entries of one word: none for bare punctuation, two for a number with its unit."""
@@ -116,20 +121,17 @@ class Reader:
             for w in line.split():
                 e = get(w)
                 ids.extend(read(w) if e is None else e)
-        if self._arrays is None:
-            self._arrays = (np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.title, bool), np.array(self.ends, bool))
-        h, kind, title, ends = self._arrays
         i = np.array(ids, np.int64)
         if not len(i):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8)
         first = np.zeros(len(i) + 1, bool)
         first[starts] = True
         first = first[:-1]
-        first[1:] |= ends[i[:-1]]
-        k = kind[i].copy()
+        first[1:] |= self.ends[i[:-1]]
+        k = self.kind[i]
         k[(k == _UNIT) & ~np.concatenate([[False], k[:-1] == _NUMBER])] = _LITERAL
-        k[(k == _LITERAL) & title[i] & ~first] = _NAME
-        return h[i], k
+        k[(k == _LITERAL) & self.title[i] & ~first] = _NAME
+        return self.hash[i], k
 
 
 def _windows(words: np.ndarray, kinds: np.ndarray, size: int, names: bool) -> np.ndarray:
