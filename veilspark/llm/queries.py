@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, line_dedup, quality, rules, sharding, simhash, token_counts
+from . import decontam, html_extract, langid, line_dedup, packing, quality, rules, sharding, simhash, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -87,6 +87,15 @@ FROM documents LEFT JOIN k USING (doc_id)
 """
 
 
+def pack_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     found = html_extract.extract(pages, html_extract.learn_weights(pages))
@@ -108,6 +117,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_packing": op8_packing,
     "op9_html_extract": op9_html_extract,
     "op10_decontamination": op10_decontamination,
 }
