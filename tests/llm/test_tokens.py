@@ -1,0 +1,157 @@
+"""Token counts and packing against the libraries; decontamination against brute force."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from conftest import SF_SMALL
+from veilspark.llm import decontam, packing, token_counts
+from veilspark.llm.common import read
+from veilspark.llm.queries import QUERIES, pack_digest
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ALPHABET = [*" \n\t'stmdrevl''  aàñ1٣²½!?.,́漢字　😀ſİ\xa0\x85\x1c​#$ ", "<|endoftext|>", "<|startoftext|>", "'ve", "'re", " the", "ing", "'ll"]
+
+
+def _texts(n, size):
+    rnd = random.Random(5)
+    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, size))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    rows = [(i, t) for i, t in enumerate(_texts(60, 80))]
+    rows += [(100, None), (101, ""), (None, "one two"), (102, "long text " * 30_000), (103, "x" * 70_000), (104, "same"), (104, "same")]
+    return spark.createDataFrame([(*r, 1, "a") for r in rows], "doc_id long, text string, _tokens int, n string")
+
+
+def test_counting_transducer_and_chunks():
+    lib = Tokenizer.from_file(BYTES)
+    with open(BYTES, encoding="utf-8") as f:
+        machine = token_counts.CountingTransducer(f.read())
+    for t in _texts(400, 60):
+        want = len(lib.encode(t, add_special_tokens=False).ids)
+        assert {machine.count(t, c) for c in (1 << 16, 1, 3, 8)} == {want}, t
+
+
+def test_character_classes_are_the_librarys():
+    split = Tokenizer.from_file(BYTES).pre_tokenizer.pre_tokenize_str
+    for c in [*range(0xD800), *range(0xE000, 0x110000)][::7]:
+        t = f"a{chr(c)}1"
+        assert [p[1][0] for p in split(t)] == token_counts.token_starts(t).tolist(), hex(c)
+
+
+def test_token_counts_edges(edges):
+    lib = Tokenizer.from_file(BYTES)
+    out = token_counts.count_tokens(edges, BYTES)
+    assert out.columns == [*edges.columns, "n_tokens"]
+    rows = out.collect()
+    assert len(rows) == edges.count()
+    for r in rows:
+        assert r.n_tokens == len(lib.encode(r.text or "", add_special_tokens=False).ids)
+    assert token_counts.count_tokens(edges.limit(0), BYTES).count() == 0
+
+
+def test_token_query(spark):
+    lib = Tokenizer.from_file(BYTES)
+    docs = {r.doc_id: r.text or "" for r in read(spark, SF_SMALL, "documents").collect()}
+    for r in QUERIES["op5_token_counts"](spark, SF_SMALL).collect():
+        t = docs.pop(r.doc_id)
+        n = len(lib.encode(t, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512)
+    assert not docs
+
+
+def _check_packing(pieces, docs, key=lambda r: r.doc_id):
+    lib = Tokenizer.from_file(WORDS)
+    want = defaultdict(list)
+    for d, t in docs:
+        want[d].append([*lib.encode(t or "", add_special_tokens=False).ids, 1])
+    sequences = defaultdict(list)
+    total = defaultdict(int)
+    for r in pieces:
+        assert any(len(ids) == r.doc_tokens and zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+                   for ids in want[r.doc_id])
+        sequences[r.sequence_id].append((r.offset, r.length))
+        total[r.doc_id, r.start] += 1
+    assert sum(r.length for r in pieces) == sum(len(i) for v in want.values() for i in v)
+    for d, v in want.items():  # as many first pieces as rows
+        assert total[d, 0] == len(v)
+    for parts in sequences.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 2048 and at & (at - 1) == 0  # all of them full or at a power of two
+
+
+def test_packing_round_trip(spark, edges):
+    _check_packing(QUERIES["op8_packing"](spark, SF_SMALL).collect(), [(r.doc_id, r.text) for r in read(spark, SF_SMALL, "documents").collect()])
+    many = packing.pack(edges, WORDS, end_id=1, task_tokens=20_000)
+    _check_packing(pack_digest(many).collect(), [(r.doc_id, r.text) for r in edges.collect()])
+    assert packing.pack(edges.limit(0), WORDS, end_id=1).count() == 0
+
+
+def test_hilbert_curve_visits_each_cell_by_unit_steps():
+    for dims, bits in ((2, 4), (3, 3)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
+        keys = packing.hilbert_keys(cells, bits)
+        assert sorted(keys) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_like_documents_lie_together():
+    with open(WORDS, encoding="utf-8") as f:
+        ids = packing.Ids(f.read())
+    texts = ["red green blue " * 20 + f"x{i}" for i in range(20)] + ["seven eight nine ten " * 20 + f"y{i}" for i in range(20)]
+    order = np.argsort(packing.curve_keys([np.frombuffer(ids.of(t), ids.type) for t in texts]), kind="stable")
+    assert ((order < 20)[1:] != (order < 20)[:-1]).sum() == 1
+
+
+ITEM = "The train leaves Boston at 9 am and travels 60 miles per hour to reach Albany in 3 hours, said Ms Smith of Salem."
+
+
+def _found(text, items=((1, ITEM),), **kw):
+    return [i for i, *_ in decontam.Items(list(items), kw.get("similarity", 0.8)).search(*decontam.Reader().template(text))]
+
+
+def test_templates_and_slots():
+    assert _found(f"before that. {ITEM} And after.") == [1]
+    assert _found(ITEM.lower().replace(",", "")) == [1]
+    moved = ITEM.replace("Boston", "Lyon").replace("9", "11").replace("60", "75").replace("miles", "km").replace("Albany", "Dijon").replace("3", "2")
+    assert _found(moved) == [1]
+    # one slot with two values is another question
+    twice = "The price of 5 pens and 5 more pens is higher than the price of 5 books today in town"
+    assert _found(twice.replace("5", "7"), [(2, twice)]) == [2]
+    assert _found("The price of 7 pens and 8 more pens is higher than the price of 9 books today in town", [(2, twice)]) == []
+    assert _found("leaves Boston at 9 am and then something else is told of it") == []
+    assert _found("a train travels", [(3, "train travels")]) == [3]
+    assert _found("9 9 9 9 9 9 9 9 9", [(4, "1 2 3 4 5 6 7 8")]) == []
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    docs = read(spark, SF_SMALL, "documents").collect()
+    bench = read(spark, SF_SMALL, "benchmark").collect()
+    words = lambda t: " " + " ".join(w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()) + " "
+    items = {b.item_id: words(b.text) for b in bench}
+    want = {(d.doc_id, i) for d in docs for i, t in items.items() if t in words(d.text or "")}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op10_decontamination"](spark, SF_SMALL).collect()}
+    assert want and got == want
+
+
+def test_decontamination_edges(spark):
+    docs = spark.createDataFrame([(1, ITEM, 0, 0), (1, ITEM, 0, 0), (2, None, 0, 0), (3, "", 0, 0), (None, ITEM, 0, 0), (4, "x " * 200_000 + ITEM, 0, 0)],
+                                 "doc_id long, text string, item_id int, _leaks int")
+    bench = spark.createDataFrame([(7, ITEM), (8, ITEM), (9, None), (10, ""), (None, ITEM), (11, "…")], "item_id long, text string")
+    for block in (decontam.BLOCK_WINDOWS, 5):  # all items together, and block by block
+        out = decontam.find_leaks(docs, bench, block_windows=block)
+        assert out.columns == [*docs.columns, "leaks"]
+        got = sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in out.collect())
+        assert got == [("1", [7, 8]), ("1", [7, 8]), ("2", []), ("3", []), ("4", [7, 8]), ("None", [7, 8])]
+    assert decontam.find_leaks(docs.limit(0), bench).count() == 0
+    assert {len(r.leaks) for r in decontam.find_leaks(docs, bench.limit(0)).collect()} == {0}

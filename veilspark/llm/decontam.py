@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import small_batches
 
 WINDOW = 5
 STRETCH = 13
@@ -238,7 +238,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     spark = df.sparkSession
     small_batches(spark)
     schema = "array<struct<item_id: bigint, windows: int, share: double>>"
-    tmp = fresh(df, "_leaks")[0]
+    tmp = "_leaks"
+    while any(c.lower().startswith(tmp) for c in df.columns):
+        tmp = "_" + tmp
     names: list[str] = []
 
     def add(frame: DataFrame, block: list[tuple[int, str]]) -> DataFrame:

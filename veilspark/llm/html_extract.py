@@ -185,7 +185,7 @@ def _prior(f: str) -> float:
 
 
 #: Weights without any labelled page.
-DEFAULT = {"in p": 1.0, "in li": -0.5, "linked 0": 0.5, "linked 3": -1.5, "linked 4": -2.0}
+DEFAULT = {"in p": 1.0, "linked 0": 0.5, "linked 1": 0.25, "linked 3": -1.5, "linked 4": -2.0}
 
 
 def page_counts(page: str) -> tuple[Counter, Counter] | None:
@@ -242,6 +242,7 @@ def main_text(page: str | None, learnt: dict[str, float]) -> str:
     for b in found:
         tags += b.tags
         if _is_other(b.path):
+            tags = 0
             continue
         w = sum(learnt.get(f, _prior(f)) for f in _features(b))
         if absent and not any(_is_main(e) for e in b.path):
