@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .. import catalog
 from ..catalog import SpanPattern
 from . import dialect, gates
+from .lets import before, let, running_max
 
 SENT_OPEN = "\u0001"
 SENT_CLOSE = "\u0002"
@@ -56,9 +57,6 @@ PUBLIC_SPAN_TYPE = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
-_MAX_SCAN_STEPS = 22  # 2**21 > 2 * 1,000,000 + 1 parts: enough for any admitted text
-
-
 def empty_spans() -> Column:
     return F.array().cast(T.ArrayType(SPAN_TYPE))
 
@@ -79,16 +77,6 @@ def make_span(entity_type: Column | str, start: Column, end: Column, score: Colu
     )
 
 
-def prefix_sums(lens: Column) -> Column:
-    """Inclusive prefix sums of an int array in ceil(log2 n) vectorised steps."""
-    n = F.size(lens)
-    strides = F.filter(F.array(*[F.lit(1 << k) for k in range(_MAX_SCAN_STEPS)]), lambda d: d < n)
-    return F.aggregate(
-        strides, lens,
-        lambda acc, d: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - d), F.lit(0))),
-    )
-
-
 def safe_text(text: Column) -> Column:
     """Text with sentinel characters swapped out (same length, same matches)."""
     return F.translate(text, SENT_OPEN + SENT_CLOSE, _SENT_SWAP + _SENT_SWAP)
@@ -100,25 +88,26 @@ def marked_lengths(text: Column, java_three_group: str) -> Column:
     return F.transform(parts, lambda p: F.length(p))
 
 
-def spans_from_lengths(lens: Column, original: Column, entity_type: str | Column, score: float | Column,
-                       source: int, ord_: int | Column) -> Column:
-    """``lens`` must be a column *reference* (it is read several times).
-    A single part means no match: the scan/zip pipeline is skipped."""
-    incl = prefix_sums(lens)
-    starts = F.filter(F.zip_with(incl, lens, lambda c, l: c - l), lambda _x, i: i % 2 == 1)
-    vlens = F.filter(lens, lambda _x, i: i % 2 == 1)
-    spans = F.zip_with(
-        starts, vlens,
-        lambda st, ln: make_span(entity_type, st, st + ln, score,
-                                 F.substring(original, st + 1, ln), source, ord_),
-    )
+def spans_from_lengths(lens: str, original: str, entity_type: str, score: float, source: int, ord_: int) -> Column:
+    """Spans of one pattern from the columns named ``lens`` and ``original``.
+    A single part means no match: the scan/zip pipeline is skipped.
+
+    Written as SQL text: one such expression per pattern, built in one call."""
+    n, t = f"`{lens}`", f"`{original}`"
+
+    def span(start: str, size: str) -> str:
+        return (f"named_struct('start', {start}, 'nscore', -{float(score)!r}D, 'source', {source}, 'ord', {ord_}, "
+                f"'end', {start} + {size}, 'entity_type', {dialect.sql_literal(entity_type)}, 'score', {float(score)!r}D, "
+                f"'text', substring({t}, {start} + 1, {size}))")
+
+    strides = f"transform(sequence(0, length(bin(size({n}) - 1)) - 1), k -> shiftleft(1, k))"
+    ends = f"aggregate({strides}, {n}, (acc, d) -> transform(acc, (x, i) -> x + coalesce(get(acc, i - d), 0)))"
+    many = (f"zip_with(filter(zip_with({ends}, {n}, (e, l) -> e - l), (x, i) -> i % 2 = 1), "
+            f"filter({n}, (x, i) -> i % 2 = 1), (s, l) -> {span('s', 'l')})")
     # one match (3 parts) is the common case: offsets need no scan
-    st1 = F.get(lens, 0)
-    one = F.array(make_span(entity_type, st1, st1 + F.get(lens, 1), score,
-                            F.substring(original, st1 + 1, F.get(lens, 1)), source, ord_))
-    return (F.when(F.size(lens) == 3, one)
-            .when(F.size(lens) > 3, spans)
-            .otherwise(empty_spans()))
+    one = f"array({span(f'get({n}, 0)', f'get({n}, 1)')})"
+    none = f"cast(array() as {T.ArrayType(SPAN_TYPE).simpleString()})"
+    return F.expr(f"CASE WHEN size({n}) = 3 THEN {one} WHEN size({n}) > 3 THEN {many} ELSE {none} END")
 
 
 def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPattern], out_col: str,
@@ -161,7 +150,7 @@ def with_pattern_spans(df: DataFrame, text_col: str, patterns: Sequence[SpanPatt
             expr = F.when(g, expr).otherwise(F.array(F.length(text)))
         lens.append(expr.alias(t))
     staged = df.select(*[c for c in df.columns if c not in gcols], *lens)
-    pieces = [spans_from_lengths(F.col(t), text, p.entity_type, p.score, source, ord_offset + i)
+    pieces = [spans_from_lengths(t, text_col, p.entity_type, p.score, source, ord_offset + i)
               for i, (p, t) in enumerate(zip(patterns, tmp))]
     out = F.concat(*pieces) if pieces else empty_spans()
     return staged.select(*[c for c in staged.columns if c not in tmp], out.alias(out_col))
@@ -178,13 +167,29 @@ def sort_spans(spans: Column) -> Column:
     return F.array_sort(spans)
 
 
+def islands(sorted_spans: Column) -> Column:
+    """Spans sorted by start -> array of arrays: a new island begins where a
+    span starts at or after the end of all before it."""
+    def cut(sp):
+        ends = before(running_max(F.transform(sp, lambda s: s["end"])), F.lit(0))
+        heads = F.array_compact(F.zip_with(F.transform(sp, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"))),
+                                           ends, lambda s, e: F.when((s["i"] == 0) | (s["start"] >= e), s["i"])))
+        return let(heads, lambda h: F.zip_with(
+            h, F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(sp))),
+            lambda x, y: F.slice(sp, x + 1, y - x)))
+
+    return let(sorted_spans, lambda sp: F.when(F.size(sp) > 0, cut(sp)).otherwise(F.array().cast(T.ArrayType(T.ArrayType(SPAN_TYPE)))))
+
+
 def merge_fold(sorted_spans: Column) -> Column:
     """Greedy left fold against the last *kept* span.
 
     Overlap iff ``x.start < last.end``; an overlapping span replaces the last
     kept one iff its score is strictly greater, or equal with a strictly
     longer span; otherwise it is dropped.  Exact fold semantics: a span
-    dropped in favour of a later winner is never reconsidered.
+    dropped in favour of a later winner is never reconsidered.  Spans of
+    different islands never meet, so the fold runs island by island and its
+    cost follows the largest island, not the document.
     """
     def step(acc, x):
         last = F.get(acc, F.size(acc) - 1)
@@ -194,7 +199,8 @@ def merge_fold(sorted_spans: Column) -> Column:
         replaced = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
         return F.when(overlaps, F.when(better, replaced).otherwise(acc)).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(sorted_spans, empty_spans(), step)
+    return F.flatten(F.transform(islands(sorted_spans), lambda part: F.when(F.size(part) == 1, part)
+                                 .otherwise(F.aggregate(part, empty_spans(), step))))
 
 
 # ------------------------------------------------------------ allow-list

@@ -61,15 +61,18 @@ def _recogniser_pattern(p: SpanPattern) -> SpanPattern:
     return SpanPattern(p.entity_type, f"(?{merged}){body}", p.score, 0)
 
 
+# The last words of a text are the first ones of its reverse: anchored, so only they are read.
+_LAST_WORDS = f"(?U)\\A\\W*(?:\\w+\\W+){{0,{CONTEXT_PREFIX_WORDS - 1}}}\\w+"
+
+
 def _context_boost(spans: Column, text: Column, words: Sequence[str]) -> Column:
-    """Raise a CUSIP score when a context word is among the preceding words."""
+    """Raise a CUSIP score when a context word is among the words before it
+    (any distance back, cut on words)."""
     ctx = F.array(*[F.lit(w) for w in words])
 
     def boost(s):
-        window = F.substring(text, F.greatest(F.lit(1), s["start"] - 199), F.least(s["start"], F.lit(200)))
-        prev = F.regexp_extract_all(F.lower(window), F.lit("(?U)\\w+"), 0)
-        last = F.slice(prev, -F.least(F.size(prev), F.lit(CONTEXT_PREFIX_WORDS)), CONTEXT_PREFIX_WORDS)
-        hit = (s["entity_type"] == "CUSIP") & (F.size(prev) > 0) & F.arrays_overlap(last, ctx)
+        back = F.regexp_extract(F.reverse(F.lower(F.substring(text, F.lit(1), s["start"]))), _LAST_WORDS, 0)
+        hit = (s["entity_type"] == "CUSIP") & F.arrays_overlap(F.regexp_extract_all(F.reverse(back), F.lit("(?U)\\w+"), 0), ctx)
         new = F.least(F.lit(1.0), F.greatest(s["score"] + CUSIP_CONTEXT_BOOST, F.lit(CUSIP_CONTEXT_MIN_SCORE)))
         sc = F.when(hit, new).otherwise(s["score"])
         return S.make_span(s["entity_type"], s["start"], s["end"], sc, s["text"], s["source"], s["ord"])
@@ -79,14 +82,17 @@ def _context_boost(spans: Column, text: Column, words: Sequence[str]) -> Column:
 
 def _drop_contained(spans: Column) -> Column:
     """Recogniser-level de-duplication: drop a span contained in a better
-    span of the same type (higher score, or equal score and earlier/longer)."""
-    def dominated(s):
-        return F.exists(spans, lambda o: (o["entity_type"] == s["entity_type"])
+    span of the same type (higher score, or equal score and earlier/longer).
+    Spans that contain one another lie in one island of the sorted spans."""
+    def dominated(s, part):
+        return F.exists(part, lambda o: (o["entity_type"] == s["entity_type"])
                         & (o["start"] <= s["start"]) & (o["end"] >= s["end"])
                         & ((o["score"] > s["score"])
                            | ((o["score"] == s["score"])
                               & ((o["start"] < s["start"]) | (o["end"] > s["end"])))))
-    return F.filter(spans, lambda s: ~dominated(s))
+
+    return F.flatten(F.transform(S.islands(S.sort_spans(spans)), lambda part: F.when(F.size(part) == 1, part)
+                                 .otherwise(F.filter(part, lambda s: ~dominated(s, part)))))
 
 
 def with_recogniser_spans(df: DataFrame, text_col: str, context_col: str, out_col: str = "rec_spans",
@@ -102,11 +108,18 @@ def with_recogniser_spans(df: DataFrame, text_col: str, context_col: str, out_co
     return boosted.withColumn(out_col, _drop_contained(F.col("__rec_boost"))).drop("__rec_all", "__rec_boost")
 
 
+def _escaped(term: str) -> str:
+    """A term as a pattern: every ASCII character but letters, digits and ``_``
+    escaped, a word boundary where the term's edge is a word character."""
+    body = "".join(c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c for c in term)
+    edge = lambda c: "\\b" if c.isalnum() or c == "_" else ""
+    return f"{edge(term[0])}{body}{edge(term[-1])}"
+
+
 def gazetteer_pattern(terms: Sequence[str], entity_type: str, score: float = 0.85) -> SpanPattern:
     """A bounded term list as one whole-word, case-insensitive alternation."""
-    alts = "|".join(sorted({"\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in terms},
-                           key=lambda x: (-len(x), x)))
-    return SpanPattern(entity_type, f"(?i)\\b(?:{alts})\\b", score, 0)
+    alts = "|".join(_escaped(t) for t in sorted({t for t in terms if t}, key=lambda x: (-len(x), x)))
+    return SpanPattern(entity_type, f"(?i)(?:{alts})", score, 0)
 
 
 def external_to_spans(ext: Column, text: Column, ord_offset: int = _EXT_ORD) -> Column:

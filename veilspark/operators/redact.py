@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import catalog
+from ..functions.lets import before, let, running_sum
 from . import audit, screen
 from .detect import detect_spans
 from .sanitize import sanitize
@@ -39,44 +40,71 @@ MANIFEST_TYPE = T.StructType([
 ])
 
 
-def with_entries(df: DataFrame, spans_col: str, out_col: str = "entries") -> DataFrame:
+def _placeholders(spans: Column) -> Column:
+    """Placeholder of every span, in the spans' order, in O(k log k).
+
+    Equal texts are brought together by sorting (text, position); the head of
+    each group is a first occurrence.  Heads sorted by (type, position) are
+    numbered by their distance from the first one of their type; the numbers
+    go back to the groups, and the groups' members back to their positions.
+    """
+    null_head = F.lit(None).cast("struct<text:string,i:int,entity_type:string>")
+
+    def by_text(k):
+        is_head = F.zip_with(k, before(k, null_head), lambda x, y: F.when(y.isNull() | (x["text"] != y["text"]), 1).otherwise(0))
+        return let(is_head, lambda flags: number(k, flags))
+
+    def number(k, flags):
+        heads = F.array_compact(F.zip_with(k, flags, lambda x, f: F.when(f == 1, x)))
+        by_type = F.array_sort(F.transform(heads, lambda x, g: F.struct(
+            x["entity_type"].alias("t"), x["i"].alias("i"), g.alias("g"))))
+        return let(by_type, lambda h: let(F.transform(h, lambda x: x["t"]), lambda types: spread(k, flags, h, types)))
+
+    def spread(k, flags, h, types):
+        first = F.map_from_entries(F.transform(F.array_distinct(types), lambda t: F.struct(
+            t.alias("k"), F.array_position(types, t).alias("v"))))  # one entry per type
+        named = let(first, lambda at: F.array_sort(F.transform(h, lambda x, j: F.struct(
+            x["g"].alias("g"), F.concat(F.lit("<"), x["t"], F.lit("_"), (j + 2 - F.element_at(at, x["t"])).cast("string"), F.lit(">")).alias("p")))))
+        placed = let(named, lambda n: F.zip_with(k, running_sum(flags), lambda x, g: F.struct(
+            x["i"].alias("i"), F.get(n, g - 1)["p"].alias("p"))))
+        return F.transform(F.array_sort(placed), lambda x: x["p"])
+
+    keyed = F.array_sort(F.transform(spans, lambda s, i: F.struct(
+        s["text"].alias("text"), i.alias("i"), s["entity_type"].alias("entity_type"))))
+    return F.when(F.size(spans) > 0, let(keyed, by_text)).otherwise(F.array().cast("array<string>"))
+
+
+def number_spans(spans: Column) -> Column:
     """Spans (sorted by start) -> manifest entries, one per occurrence."""
-    sp = F.col(spans_col)
-    df = df.withColumn("__texts", F.transform(sp, lambda s: s["text"]))
-    df = df.withColumn("__first", F.transform(F.col("__texts"), lambda t: F.array_position(F.col("__texts"), t)))
-    # __newtype[i] is the type of span i when it is a first occurrence, else null
-    df = df.withColumn("__newtype", F.transform(sp, lambda s, i: F.when(
-        F.get(F.col("__first"), i) == i + 1, s["entity_type"])))
-    df = df.withColumn("__num", F.transform(sp, lambda s, i: F.when(
-        F.get(F.col("__first"), i) == i + 1,
-        F.size(F.filter(F.slice(F.col("__newtype"), 1, i + 1), lambda t: t == s["entity_type"])))))
-
-    def entry(s, i):
-        j = F.get(F.col("__first"), i) - 1
-        ph = F.concat(F.lit("<"), F.get(sp, j)["entity_type"], F.lit("_"),
-                      F.get(F.col("__num"), j).cast("string"), F.lit(">"))
-        return F.struct(ph.alias("placeholder"), s["text"].alias("original"),
-                        s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"))
-
-    return df.withColumn(out_col, F.transform(sp, entry)).drop("__texts", "__first", "__newtype", "__num")
+    return let(spans, lambda sp: F.zip_with(sp, _placeholders(sp), lambda s, p: F.struct(
+        p.alias("placeholder"), s["text"].alias("original"), s["entity_type"].alias("entity_type"),
+        s["start"].alias("start"), s["end"].alias("end"))))
+
+
+def with_entries(df: DataFrame, spans_col: str, out_col: str = "entries") -> DataFrame:
+    return df.withColumn(out_col, number_spans(F.col(spans_col)))
 
 
 def splice(text: Column, entries: Column) -> Column:
-    """P5: replace every entry span by its placeholder (entries disjoint, sorted).
-    ``text`` and ``entries`` must be column references."""
-    pieces = F.transform(entries, lambda e, i: F.concat(
-        F.substring(text, F.coalesce(F.get(entries, i - 1)["end"], F.lit(0)) + 1,
-                    e["start"] - F.coalesce(F.get(entries, i - 1)["end"], F.lit(0))),
-        e["placeholder"]))
-    tail_from = F.coalesce(F.get(entries, F.size(entries) - 1)["end"], F.lit(0)) + 1
-    return F.concat(F.array_join(pieces, ""), F.substring(text, tail_from, F.length(text)))
+    """P5: replace every entry span by its placeholder (entries disjoint, sorted)."""
+    def cut(x):
+        ends = F.transform(x["entries"], lambda e: e["end"])
+        pieces = F.zip_with(x["entries"], before(ends, F.lit(0)), lambda e, at: F.concat(
+            F.substring(x["text"], at + 1, e["start"] - at), e["placeholder"]))
+        rest = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + 1
+        return F.concat(F.array_join(pieces, ""), F.substring(x["text"], rest, F.length(x["text"])))
+
+    return let(F.struct(text.alias("text"), entries.alias("entries")), cut)
 
 
 def type_histogram(entries: Column) -> Column:
     """Occurrences per type, keys in first-seen order."""
-    types = F.transform(entries, lambda e: e["entity_type"])
-    return F.map_from_entries(F.transform(F.array_distinct(types), lambda t: F.struct(
-        t.alias("key"), F.size(F.filter(types, lambda x: x == t)).cast("int").alias("value"))))
+    def count(types):
+        # sorted, a type's occurrences end where the next type's begin
+        return let(F.array_sort(types), lambda s: F.map_from_entries(F.transform(F.array_distinct(types), lambda t: F.struct(
+            t.alias("key"), (F.size(s) + 1 - F.array_position(s, t) - F.array_position(F.reverse(s), t) + 1).cast("int").alias("value")))))
+
+    return let(F.transform(entries, lambda e: e["entity_type"]), count)
 
 
 def redaction_id(id_col: Column, text: Column) -> Column:
@@ -109,25 +137,29 @@ def redact_spans(df: DataFrame, id_col: str, text_col: str, spans_col: str) -> D
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_col: str = "context",
-           *, envelope: bool = True, **detect_kw) -> DataFrame:
+           *, envelope: bool = True, max_bytes: int | None = catalog.MAX_INPUT_BYTES,
+           max_lines: int | None = catalog.MAX_LINE_COUNT, **detect_kw) -> DataFrame:
     """P11 end to end: sanitise -> screen -> NFC + detect -> number -> splice
     -> manifest -> output audit.
 
     Output: ``id, is_valid, error, sanitized_text, manifest`` and, with
     ``envelope``, the security fields.  Rejected rows carry a null
-    ``sanitized_text``/``manifest`` and their ``error``; they are never
-    dropped.  ``text`` (the validated input) is kept for callers that need
+    ``sanitized_text``/``manifest``/injection fields and their ``error``; they
+    are never dropped.  ``text`` (the validated input) is kept for callers that need
     it and should be dropped before writing the sanitized sink.
     """
     if context_col not in df.columns:
         df = df.withColumn(context_col, F.lit(catalog.DEFAULT_CONTEXT))
-    df = sanitize(df, text_col)
-    if envelope:
-        df = screen.screen(df, text_col)
-    # only admitted rows are scanned; rejected rows keep their text and error
+    df = sanitize(df, text_col, max_bytes, max_lines)
+    # only admitted rows are screened and scanned; rejected rows keep their text and error
     df = df.withColumn("_vtext", F.when(F.col("is_valid"), F.col(text_col)))
+    if envelope:
+        df = screen.screen(df, "_vtext")
+        for c in ("injection_patterns", "injection_score", "injection_detected"):
+            df = df.withColumn(c, F.when(F.col("is_valid"), F.col(c)))
     df = detect_spans(df, "_vtext", context_col, "__spans", raw=False, **detect_kw)
     df = redact_spans(df, id_col, "_vtext", "__spans").drop("__spans")
+    df = df.withColumn("manifest", F.when(F.col("is_valid"), F.col("manifest")))
     df = df.withColumn(text_col, F.coalesce(F.col("_vtext"), F.col(text_col))).drop("_vtext")
     if envelope:
         df = audit.audit(df, "sanitized_text", "manifest")

@@ -33,13 +33,15 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def rejection(text: Column) -> Column:
-    """V1/V2: error message or null (byte test first, as specified)."""
-    return (F.when(F.octet_length(text) > catalog.MAX_INPUT_BYTES, F.lit(catalog.ERROR_TOO_LARGE))
-            .when(newline_count(text) >= catalog.MAX_LINE_COUNT, F.lit(catalog.ERROR_TOO_MANY_LINES)))
+def rejection(text: Column, max_bytes: int | None = catalog.MAX_INPUT_BYTES,
+              max_lines: int | None = catalog.MAX_LINE_COUNT) -> Column:
+    """V1/V2: error message or null (byte test first, as specified); a limit of None is off."""
+    return (F.when(F.lit(max_bytes is not None) & (F.octet_length(text) > (max_bytes or 0)), F.lit(catalog.ERROR_TOO_LARGE))
+            .when(F.lit(max_lines is not None) & (newline_count(text) >= (max_lines or 0)), F.lit(catalog.ERROR_TOO_MANY_LINES)))
 
 
-def sanitize(df: DataFrame, text_col: str = "text") -> DataFrame:
+def sanitize(df: DataFrame, text_col: str = "text", max_bytes: int | None = catalog.MAX_INPUT_BYTES,
+             max_lines: int | None = catalog.MAX_LINE_COUNT) -> DataFrame:
     """Replaces ``text_col`` with the cleaned text and adds ``is_valid``,
     ``error`` and ``actions``.
 
@@ -47,7 +49,7 @@ def sanitize(df: DataFrame, text_col: str = "text") -> DataFrame:
     (``filter("is_valid")``) instead of losing them.
     """
     others = [c for c in df.columns if c != text_col]
-    staged = df.select(*others, rejection(F.col(text_col)).alias("error"), F.col(text_col).alias("__san_0"))
+    staged = df.select(*others, rejection(F.col(text_col), max_bytes, max_lines).alias("error"), F.col(text_col).alias("__san_0"))
     flags: list[str] = []
     cur = "__san_0"
     for k, (label, rewrites) in enumerate(steps(), start=1):

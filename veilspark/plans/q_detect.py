@@ -159,15 +159,11 @@ def allow_effect(spark, sf):
 
 # ---------------------------------------------------------------- gazetteer
 def _gazetteer_terms(spark, sf) -> list[str]:
-    """Place names from the nation and region dimensions (a bounded list:
-    checked before it is turned into one pattern)."""
+    """Place names from the nation and region dimensions (a fixed list of a few dozen;
+    dictionaries that grow go through ``gazetteer.dictionary_spans``)."""
     names = (tables.table(spark, sf, "nation").select(F.col("n_name").alias("t"))
              .unionByName(tables.table(spark, sf, "region").select(F.col("r_name").alias("t"))).distinct())
-    bound = 10_000
-    rows = names.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("gazetteer too large for a single pattern; use the join form")
-    return [r.t for r in rows if r.t]
+    return [r.t for r in names.collect() if r.t]
 
 
 def _gaz_sql() -> str:
@@ -219,6 +215,11 @@ def attach_external_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_
     per_doc = spans.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct(
         "entity_type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
         F.col("score").cast("double").alias("score"))).alias(out_col))
+    # arrival order must not decide ties: the whole struct sorts them
+    per_doc = per_doc.withColumn(out_col, F.array_sort(F.transform(out_col, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score")))))
+    per_doc = per_doc.withColumn(out_col, F.transform(out_col, lambda s: F.struct(
+        s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
     return docs.join(per_doc, on=id_col, how="left")
 
 
@@ -238,15 +239,12 @@ def spans_external_join(spark, sf):
     regex and recogniser layers."""
     docs = attach_external_spans(N.notes(spark, sf).withColumnRenamed("note_id", "doc_id"),
                                  _external_spans(spark, sf), "doc_id", "ext")
-    # keep the model's span order stable inside each document
-    docs = docs.withColumn("ext", F.array_sort(F.col("ext"), lambda a, b: a["start"] - b["start"]))
     d = D.detect_spans(docs, "text", "context", "sp", raw=True, external_col="ext")
     return _long(d, "doc_id", "sp")
 
 
 # ------------------------------------------------------------- raw documents
-_DOC_TYPES = ("CREDIT_CARD", "EMAIL", "US_PHONE")
-_DOC_PATS = [p for p in catalog.LAYER1_PATTERNS if p.entity_type in _DOC_TYPES]
+_DOC_PATS = list(catalog.LAYER1_PATTERNS)
 _DOC_SQL = _long_sql("\nUNION ALL\n".join(
     sqlgen.pattern_spans_sql("documents", "doc_id", "text", p, 0, catalog.LAYER1_PATTERNS.index(p))
     for p in _DOC_PATS), "doc_id")
@@ -254,10 +252,9 @@ _DOC_SQL = _long_sql("\nUNION ALL\n".join(
 
 @register("detect_documents", _DOC_SQL)
 def detect_documents(spark, sf):
-    """R0 on the raw corpus for the types it actually contains (cards,
-    e-mails, phones), whole texts."""
+    """R0 on the raw corpus: every pattern on whole texts."""
     d = tables.documents(spark, sf)
-    n = S.with_pattern_spans(d, "text", _DOC_PATS, "sp", 0, raw=True)  # one scan, all three patterns
+    n = S.with_pattern_spans(d, "text", _DOC_PATS, "sp", 0, raw=True)  # one scan, all patterns
     return _long(n, "doc_id", "sp", "doc_id")
 
 
@@ -349,7 +346,7 @@ FROM g JOIN t ON t.note_id = g.id JOIN {terms} d ON d.key = lower(substring(t.te
 @register("detect_gazetteer_join", _gaz_join_sql())
 def detect_gazetteer_join(spark, sf):
     """L2 re-aimed, dictionary form: word n-grams joined to the place-name
-    table (broadcast only under a proven row bound)."""
+    table."""
     from ..operators.gazetteer import dictionary_spans
     s = dictionary_spans(N.notes(spark, sf).select("note_id", "text"), _place_terms(spark, sf), "note_id")
     return s.select(F.col("note_id").cast("bigint").alias("note_id"), "entity_type",

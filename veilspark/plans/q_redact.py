@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +125,8 @@ def round_trip(spark, sf):
 def _write_and_read(df: DataFrame, spark, name: str) -> DataFrame:
     """Persist an intermediate table in the shared checkpoint folder (cuts
     lineage; survives executor loss) and read it back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -133,13 +135,11 @@ def rehydrate_vault_join(spark, sf):
     """IO6 + H8: redact writes two sinks (sanitized table without PII, vault of
     manifests); a later job joins model outputs back to the vault by key and
     rehydrates."""
-    r = redacted_notes(spark, sf).select("note_id", "sanitized_text", "manifest")
-    sanitized = _write_and_read(r.select("note_id", F.col("manifest.redaction_id").alias("redaction_id"),
-                                         "sanitized_text"), spark, "sanitized_notes")
-    vault = _write_and_read(r.select("note_id", F.col("manifest.redaction_id").alias("redaction_id"),
-                                     F.to_json("manifest").alias("manifest_json")), spark, "vault_notes")
-    outputs = sanitized.select("note_id", "redaction_id", F.col("sanitized_text").alias("model_output"))
-    j = outputs.join(vault, on=["note_id", "redaction_id"], how="left")
+    r = redacted_notes(spark, sf).select("note_id", "sanitized_text", F.col("manifest.redaction_id").alias("redaction_id"),
+                                         F.to_json("manifest").alias("manifest_json"))
+    written = _write_and_read(r, spark, "redacted_notes")  # one detection run; both sinks read their columns
+    outputs = written.select("note_id", "redaction_id", F.col("sanitized_text").alias("model_output"))
+    j = H.vault_join(outputs, written.select("note_id", "redaction_id", "manifest_json"), ["note_id", "redaction_id"])
     h = H.rehydrate_json(j, "model_output", "manifest_json")
     return h.select(F.col("note_id").cast("bigint").alias("note_id"), "rehydrated_text")
 

@@ -84,8 +84,7 @@ r1 AS (SELECT r0.id, r0.et, r0.s, r0.e, r0.x, r0.src, r0.o,
                        list_slice(w, greatest(len(w) - 4, 1), len(w)), {words})
                    THEN least(1.0, greatest(r0.sc + 0.35, 0.4)) ELSE r0.sc END AS sc
        FROM r0 JOIN (SELECT {id_col} AS id, {text_col} AS t FROM {src}) tt ON tt.id = r0.id,
-            LATERAL (SELECT regexp_extract_all(lower(substring(tt.t, greatest(1, r0.s - 199),
-                                                                least(r0.s, 200))), '\\w+') AS w)),
+            LATERAL (SELECT regexp_extract_all(lower(substring(tt.t, 1, r0.s)), '\\w+') AS w)),
 r2 AS (SELECT * FROM r1 a WHERE NOT EXISTS (
          SELECT 1 FROM r1 b WHERE b.id = a.id AND b.et = a.et AND b.s <= a.s AND b.e >= a.e
            AND (b.sc > a.sc OR (b.sc = a.sc AND (b.s < a.s OR b.e > a.e))))),

@@ -37,11 +37,13 @@ def build_session(master: str | None = None, app: str = "veilspark", shuffle_par
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting is given; it is only filled in here when unset
-    (local tests), with a fresh scratch folder.
+    On a cluster it has to be set.  Only a local master, where one machine
+    does all the work (tests, benches), gets a fresh folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="veilspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,16 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def spread(df, min_partitions: int | None = None):
-    """Ensure a text table is split over at least the cluster's parallelism.
+def spread(df):
+    """Deal rows out round-robin over ``spark.sql.shuffle.partitions`` tasks.
 
-    A scan already yields one partition per file split, which on a cluster
-    is far more than the core count, so this is a no-op there; small inputs
-    (one file, one row group) would otherwise run every regex in one task.
-    """
+    For inputs kept in one file split (the small test tables), whose every row
+    is costly.  It always does the same, looks at nothing and runs nothing;
+    readers of large tables, which arrive in many splits, do not need it."""
     if df.isStreaming:
         return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -63,17 +63,18 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def split_requests(df: DataFrame, text_col: str = "text", context_col: str = "context") -> tuple[DataFrame, DataFrame]:
+def split_requests(df: DataFrame, text_col: str = "text", context_col: str = "context",
+                   max_chars: int | None = catalog.MAX_REQUEST_CHARS) -> tuple[DataFrame, DataFrame]:
     """Request-schema enforcement: (accepted, quarantined).
 
-    Rejected: text longer than the request cap, or a context outside the
+    Rejected: text longer than ``max_chars`` (None: no limit), or a context outside the
     allowed set.  Two filters on the same deterministic predicate; nothing is
     dropped silently — the quarantine carries a ``reject_reason``.
     """
     allowed = list(catalog.CONTEXT_ENTITIES)
     reason = (
         F.when(F.col(text_col).isNull(), F.lit("missing_text"))
-        .when(F.length(text_col) > catalog.MAX_REQUEST_CHARS, F.lit("text_too_long"))
+        .when(F.lit(max_chars is not None) & (F.length(text_col) > (max_chars or 0)), F.lit("text_too_long"))
         .when(~F.coalesce(F.col(context_col), F.lit(catalog.DEFAULT_CONTEXT)).isin(allowed),
               F.lit("unknown_context"))
     )
