@@ -15,7 +15,7 @@ MORTGAGE = (
     "Loan # LN-2025-00042 at 6.75% with LTV 80% and DTI 43%.\n"
     "Checking account number 0012345678 for escrow.\n"
     "Property: 77 Harbor View Ln, APN 012-345-678-9 recorded.\n"
-    "Listing MLS# 8812345 via NMLS# 456789.\n"
+    "Listing MLS# 8812345 via NMLS# 2718281.\n"
     "Title commitment received. Closing scheduled for June. Closing Disclosure sent.\n"
     "Escrow # ESC-99812 opened; instrument no. 2025-0001234.\n"
     "The loan originator reviewed the listing appointment notes.\n"

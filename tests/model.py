@@ -1,190 +1,190 @@
-"""Brute-force, single-document statement of the specified semantics.
-
-Used only by tests, on small fixtures, as the expected side of Spark runs.
-Regexes run with the Python ``regex``/``re`` modules (the specification
-dialect), so these checks also cover the Java dialect translation.
+"""What the operators have to give, for one text at a time.
+
+Written from the specification's statements, not from any implementation:
+overlaps are settled champion by champion over position-sorted spans,
+placeholder numbers are ranks among first occurrences, texts are put together
+from what lies between spans, steps and rules are data.  Only tests use it, on
+small inputs.  Patterns run in Python's own ``regex``/``re``, so the Java
+translation is checked too.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
 import unicodedata
+from collections import Counter
+from itertools import groupby
 
 import regex
 
 from veilspark import catalog
 
+RECOGNISER_FLAGS = regex.DOTALL | regex.MULTILINE | regex.IGNORECASE
+
+
+# ------------------------------------------------------------------ detection
+def _found(text, patterns, source, flags=0):
+    """All spans of a list of patterns; a pattern's value group narrows its span."""
+    for rank, p in enumerate(patterns):
+        for hit in regex.finditer(p.regex, text, flags):
+            part = p.group if source == 0 and p.group and hit.lastindex else 0
+            a, z = hit.span(part)
+            yield {"entity_type": p.entity_type, "start": a, "end": z, "score": p.score, "text": text[a:z], "source": source, "ord": rank}
+
 
 def spans_layer1(text):
-    out = []
-    for i, p in enumerate(catalog.LAYER1_PATTERNS):
-        for m in regex.compile(p.regex).finditer(text):
-            g = p.group if p.group and m.lastindex else 0
-            out.append(dict(entity_type=p.entity_type, start=m.start(g), end=m.end(g), score=p.score,
-                            text=m.group(g), source=0, ord=i))
-    return out
+    return list(_found(text, catalog.LAYER1_PATTERNS, 0))
 
 
-def spans_layer3(text, context):
-    wanted = catalog.CONTEXT_ENTITIES.get(context, catalog.CONTEXT_ENTITIES["general"])
-    out = []
-    for i, p in enumerate(catalog.LAYER3_PATTERNS):
-        flags = regex.DOTALL | regex.MULTILINE | regex.IGNORECASE
-        for m in regex.compile(p.regex, flags).finditer(text):
-            score = p.score
-            if p.entity_type == "CUSIP":
-                words = regex.findall(r"\w+", text[max(0, m.start() - 200):m.start()].lower())[-5:]
-                if set(words) & set(catalog.CUSIP_CONTEXT_WORDS):
-                    score = min(1.0, max(score + 0.35, 0.4))
-            out.append(dict(entity_type=p.entity_type, start=m.start(), end=m.end(), score=score,
-                            text=m.group(), source=1, ord=i))
-    # recogniser de-duplication: drop spans contained in a better same-type span
-    kept = []
-    for s in out:
-        dominated = any(o is not s and o["entity_type"] == s["entity_type"] and o["start"] <= s["start"]
-                        and o["end"] >= s["end"] and (o["score"] > s["score"] or (
-                            o["score"] == s["score"] and (o["start"] < s["start"] or o["end"] > s["end"])))
-                        for o in out)
-        if not dominated:
-            kept.append(s)
-    kept = [s for s in kept if s["entity_type"] in wanted and s["text"] not in catalog.ALLOW_TERMS]
-    for s in kept:
-        s["entity_type"] = catalog.TYPE_MAP.get(s["entity_type"], s["entity_type"])
-    return kept
+def _boosted(span, text):
+    """A CUSIP gains .35 (to .4 at least, 1 at most) if one of the five words before it is a context word."""
+    near = regex.findall(r"\w+", text[:span["start"]].lower())[-5:]
+    if span["entity_type"] != "CUSIP" or not set(near).intersection(catalog.CUSIP_CONTEXT_WORDS):
+        return span
+    return span | {"score": min(1.0, max(0.4, span["score"] + 0.35))}
 
 
-def merge(spans):
-    tagged = sorted(spans, key=lambda s: (s["start"], -s["score"], s["source"], s["ord"]))
-    merged = []
-    for e in tagged:
-        if merged and e["start"] < merged[-1]["end"]:
-            prev = merged[-1]
-            if e["score"] > prev["score"] or (
-                    e["score"] == prev["score"] and e["end"] - e["start"] > prev["end"] - prev["start"]):
-                merged[-1] = e
-        else:
-            merged.append(e)
-    return merged
+def _covers(big, small):
+    """``big`` makes ``small`` of the same type superfluous."""
+    inside = big["start"] <= small["start"] and small["end"] <= big["end"] and big["entity_type"] == small["entity_type"]
+    longer = (big["start"], big["end"]) != (small["start"], small["end"])
+    return inside and (big["score"] > small["score"] or (big["score"] == small["score"] and longer))
+
 
+def spans_layer3(text, context):
+    spans = [_boosted(s, text) for s in _found(text, catalog.LAYER3_PATTERNS, 1, RECOGNISER_FLAGS)]
+    asked = catalog.CONTEXT_ENTITIES.get(context) or catalog.CONTEXT_ENTITIES["general"]
+    return [s | {"entity_type": catalog.TYPE_MAP.get(s["entity_type"], s["entity_type"])} for s in spans
+            if not any(_covers(b, s) for b in spans) and s["entity_type"] in asked and s["text"] not in catalog.ALLOW_TERMS]
 
-_ALLOW = [re.compile(p) for p in catalog.ALLOW_PATTERNS]
+
+def merge(spans):
+    """Champions: from left to right, a span is challenged by those that start
+    before it ends; a challenger with the larger (score, length) takes its place."""
+    waiting = sorted(spans, key=lambda s: (s["start"], -s["score"], s["source"], s["ord"]))
+    might = lambda s: (s["score"], s["end"] - s["start"])
+    champions = []
+    while waiting:
+        champion, rest = waiting[0], 1
+        while rest < len(waiting) and waiting[rest]["start"] < champion["end"]:
+            champion = max(champion, waiting[rest], key=might)  # the first of equals stays
+            rest += 1
+        champions.append(champion)
+        waiting = waiting[rest:]
+    return champions
 
 
 def allowed(text):
-    return any(p.fullmatch(text) for p in _ALLOW)
+    return any(re.fullmatch(p, text) for p in catalog.ALLOW_PATTERNS)
 
 
 def detect(text, context="general", layer3=True):
     text = unicodedata.normalize("NFC", text)
-    spans = spans_layer1(text) + (spans_layer3(text, context) if layer3 else [])
-    return [s for s in merge(spans) if not allowed(s["text"])]
+    candidates = spans_layer1(text) + (spans_layer3(text, context) if layer3 else [])
+    return [s for s in merge(candidates) if not allowed(s["text"])]
 
 
+# ------------------------------------------------------------------ redaction
 def redact(text, context="general", layer3=True):
+    """(sanitized, entries, normalised text)."""
     text = unicodedata.normalize("NFC", text)
-    spans = sorted(detect(text, context, layer3), key=lambda s: s["start"])
-    seen, counters, entries = {}, {}, []
-    for s in spans:
-        if s["text"] not in seen:
-            counters[s["entity_type"]] = counters.get(s["entity_type"], 0) + 1
-            seen[s["text"]] = f"<{s['entity_type']}_{counters[s['entity_type']]}>"
-        entries.append(dict(placeholder=seen[s["text"]], original=s["text"], entity_type=s["entity_type"],
-                            start=s["start"], end=s["end"]))
-    out = text
-    for e in reversed(entries):
-        out = out[: e["start"]] + e["placeholder"] + out[e["end"]:]
-    return out, entries, text
-
-
-_STEPS = [
-    ("stripped_control_chars", [(re.compile(catalog.CONTROL_CHARS), "")]),
-    ("stripped_invisible_unicode", [(re.compile(catalog.INVISIBLE_UNICODE), "")]),
-    ("removed_base64_blocks", [(re.compile(catalog.BASE64_BLOCK), catalog.BASE64_REPLACEMENT)]),
-    ("removed_script_elements", [(re.compile(catalog.HTML_SCRIPT, re.I | re.S), "")]),
-    ("removed_html_tags", [(re.compile(catalog.HTML_TAG), "")]),
-    ("removed_external_images", [(re.compile(catalog.MD_EXTERNAL_IMAGE), catalog.IMAGE_REPLACEMENT)]),
-    ("normalized_whitespace", [(re.compile(catalog.EXCESSIVE_BLANKS), "\n\n\n"),
-                               (re.compile(catalog.EXCESSIVE_SPACES), " ")]),
-]
-
-
-def sanitize(text):
-    if len(text.encode("utf-8", errors="replace")) > catalog.MAX_INPUT_BYTES:
-        return text, False, [], catalog.ERROR_TOO_LARGE
-    if text.count("\n") >= catalog.MAX_LINE_COUNT:
-        return text, False, [], catalog.ERROR_TOO_MANY_LINES
-    actions = []
-    for label, subs in _STEPS:
-        new = text
-        for rx, rep in subs:
-            new = rx.sub(rep, new)
-        if new != text:
-            actions.append(label)
-            text = new
-    return text, True, actions, None
+    spans = detect(text, context, layer3)
+    values = [s["text"] for s in spans]
+    heads = [i for i, v in enumerate(values) if values.index(v) == i]
+    kinds = [spans[i]["entity_type"] for i in heads]
+    name = {values[i]: f"<{kinds[k]}_{Counter(kinds[:k + 1])[kinds[k]]}>" for k, i in enumerate(heads)}
+    entries = [{"placeholder": name[s["text"]], "original": s["text"], "entity_type": s["entity_type"],
+                "start": s["start"], "end": s["end"]} for s in spans]
+    edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(text)]
+    between = [text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]
+    return "".join(g + p for g, p in zip(between, [*[name[v] for v in values], ""], strict=True)), entries, text
 
 
-_INJ = [(re.compile(r.regex, re.I), r.label, r.weight) for r in catalog.INJECTION_RULES]
+def redaction_id(doc_id, text):
+    return f"red_{hashlib.sha256(chr(0).join((str(doc_id), text)).encode()).hexdigest()[:8]}"
+
+
+# --------------------------------------------------------------- sanitisation
+#: action, pattern, flags, replacement; an action may have several rewrites
+REWRITES = [
+    ("stripped_control_chars", catalog.CONTROL_CHARS, 0, ""),
+    ("stripped_invisible_unicode", catalog.INVISIBLE_UNICODE, 0, ""),
+    ("removed_base64_blocks", catalog.BASE64_BLOCK, 0, catalog.BASE64_REPLACEMENT),
+    ("removed_script_elements", catalog.HTML_SCRIPT, re.I | re.S, ""),
+    ("removed_html_tags", catalog.HTML_TAG, 0, ""),
+    ("removed_external_images", catalog.MD_EXTERNAL_IMAGE, 0, catalog.IMAGE_REPLACEMENT),
+    ("normalized_whitespace", catalog.EXCESSIVE_BLANKS, 0, "\n\n\n"),
+    ("normalized_whitespace", catalog.EXCESSIVE_SPACES, 0, " "),
+]
 
 
+def sanitize(text):
+    """(text, valid, actions, error)."""
+    limits = {catalog.ERROR_TOO_LARGE: len(text.encode("utf-8", "replace")) <= catalog.MAX_INPUT_BYTES,
+              catalog.ERROR_TOO_MANY_LINES: len(text.split("\n")) <= catalog.MAX_LINE_COUNT}
+    broken = [e for e, kept in limits.items() if not kept]
+    if broken:
+        return text, False, [], broken[0]
+    versions = [("", text)]
+    for action, rules in groupby(REWRITES, key=lambda r: r[0]):
+        now = versions[-1][1]
+        for _, pattern, flags, new in rules:
+            now = re.sub(pattern, new, now, flags=flags)
+        versions.append((action, now))
+    return versions[-1][1], True, [a for (_, old), (a, new) in zip(versions, versions[1:], strict=False) if old != new], None
+
+
+# -------------------------------------------------------- screening, auditing
 def screen(text):
-    low = text.lower()
-    labels = [lab for rx, lab, _w in _INJ if rx.search(low)]
-    score = max([w for rx, lab, w in _INJ if lab in labels], default=0.0)
-    return labels, round(score, 2), score >= catalog.INJECTION_THRESHOLD
-
-
-_SHAPE = re.compile(catalog.PLACEHOLDER_SHAPE)
+    hits = {r.label: r.weight for r in catalog.INJECTION_RULES if re.search(r.regex, text.lower(), re.I)}
+    score = round(max(hits.values(), default=0.0), 2)
+    return list(hits), score, max(hits.values(), default=0.0) >= catalog.INJECTION_THRESHOLD
 
 
 def audit(sanitized, entries):
-    w = []
-    for e in entries:
-        o = e["original"]
-        if len(o) >= catalog.MIN_LEAK_CHECK_LENGTH and re.search(r"\b" + re.escape(o) + r"\b", sanitized):
-            w.append(f"pii_leak:{e['entity_type']}")
-    for ph in re.findall(r"<[^>]+>", sanitized):
-        if not _SHAPE.fullmatch(ph):
-            w.append(f"invalid_placeholder_format:{ph}")
-    return w
+    left = [e["entity_type"] for e in entries if len(e["original"]) >= catalog.MIN_LEAK_CHECK_LENGTH
+            and re.search(rf"\b{re.escape(e['original'])}\b", sanitized)]
+    odd = [p for p in re.findall("<[^>]+>", sanitized) if not re.fullmatch(catalog.PLACEHOLDER_SHAPE, p)]
+    return [f"pii_leak:{t}" for t in left] + [f"invalid_placeholder_format:{p}" for p in odd]
+
+
+# -------------------------------------------------------------- rehydration
+def _complaints(placeholders):
+    """What is wrong with a manifest's list, in the order it is reported."""
+    if type(placeholders) is not list:
+        yield "manifest.placeholders must be a list"
+        return
+    if len(placeholders) > catalog.MAX_PLACEHOLDERS:
+        yield f"manifest contains too many placeholders ({len(placeholders)})"
+    for e in placeholders:
+        if isinstance(e, dict):
+            if not re.fullmatch(catalog.PLACEHOLDER_SHAPE, e.get("placeholder", "")):
+                yield f"invalid placeholder format: {e.get('placeholder', '')!r}"
+            if len(e.get("original", "")) > catalog.MAX_ORIGINAL_LENGTH:
+                yield "original value exceeds maximum length"
 
 
 def rehydrate(text, placeholders):
-    if not isinstance(placeholders, list):
-        raise ValueError("manifest.placeholders must be a list")
-    if len(placeholders) > catalog.MAX_PLACEHOLDERS:
-        raise ValueError(f"manifest contains too many placeholders ({len(placeholders)})")
-    for e in placeholders:
-        if not isinstance(e, dict):
-            continue
-        ph, orig = e.get("placeholder", ""), e.get("original", "")
-        if not _SHAPE.fullmatch(ph):
-            raise ValueError(f"invalid placeholder format: {ph!r}")
-        if len(orig) > catalog.MAX_ORIGINAL_LENGTH:
-            raise ValueError("original value exceeds maximum length")
-        text = text.replace(ph, orig)
+    for complaint in _complaints(placeholders):
+        raise ValueError(complaint)
+    pairs = [(e.get("placeholder", ""), e.get("original", "")) for e in placeholders if isinstance(e, dict)]
+    for name, value in pairs:  # one after the other: an original may hold a later placeholder
+        text = value.join(text.split(name))
     return text
 
 
+# --------------------------------------------------------------- admission
 def token_bucket(events, rpm, burst, stale=catalog.BUCKET_STALE_SECONDS):
-    """events: [(key, ts_seconds, id)] -> {id: (allowed, retry_after)}"""
-    state, out = {}, {}
-    rate = rpm / 60.0
-    for key, ts, eid in sorted(events, key=lambda e: (e[0], e[1], e[2])):
-        b = state.get(key)
-        if b is None or ts - b[1] > stale:
-            b = [float(burst), ts]
-        b[0] = min(burst, b[0] + (ts - b[1]) * rate)
-        b[1] = ts
-        if b[0] >= 1.0:
-            b[0] -= 1.0
-            out[eid] = (True, 0.0)
-        else:
-            out[eid] = (False, round((1.0 - b[0]) / rate, 1))
-        state[key] = b
+    """events: [(key, ts_seconds, id)] -> {id: (allowed, retry_after)}: a bucket
+    starts full, gains rpm/60 a second up to burst, an admitted request takes one."""
+    out = {}
+    per_second = rpm / 60.0
+    for _, visits in groupby(sorted(events), key=lambda e: e[0]):
+        level, since = None, None
+        for _, now, event in visits:
+            idle = None if since is None else now - since
+            level = float(burst) if idle is None or idle > stale else min(burst, level + idle * per_second)
+            since = now
+            ok = level >= 1.0
+            out[event] = (ok, 0.0 if ok else round((1.0 - level) / per_second, 1))
+            level -= ok
     return out
-
-
-def redaction_id(doc_id, text):
-    return "red_" + hashlib.sha256(f"{doc_id}\x00{text}".encode()).hexdigest()[:8]
