@@ -1,25 +1,31 @@
-"""NFC normalisation (N1), JVM-side.
+"""NFC normalisation.
 
-Spark has no NFC function, but it ships ICU4J (used for collations), and the
-built-in ``java_method`` can call its static ``Normalizer.compose(text,
-false)`` (canonical composition = NFC).  Text made only of code points below
-U+0300 is already NFC, so the call is made only for rows containing anything
-at or above U+0300; everything stays in the JVM (no Python worker).
+Spark has no NFC function.  Text made only of code points below U+0300 is in
+NFC already, so only rows with something beyond go to a pandas UDF; all others
+send it a null.  The UDF is deterministic, so filters on other columns pass
+below it down to the scan.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Anything at or above U+0300 (combining marks and beyond) may need composition.
 _MAY_CHANGE = "[^\\x{0}-\\x{2FF}]"
-_ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
+
+
+def _compose(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 def nfc(text: Column) -> Column:
-    composed = F.java_method(F.lit(_ICU_NORMALIZER), F.lit("compose"), text, F.lit(False))
-    return F.when(text.rlike(_MAY_CHANGE), composed).otherwise(text)
+    beyond = text.rlike(_MAY_CHANGE)
+    return F.when(beyond, F.pandas_udf(_compose, T.StringType())(F.when(beyond, text))).otherwise(text)
 
 
 def normalize(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -106,11 +106,22 @@ def manifest_lengths(spark, sf):
                     F.col("manifest.stats.text_length_sanitized").cast("bigint").alias("text_length_sanitized"))
 
 
-@register("manifest_json")
+_FIRST = f"(SELECT id, arg_min(ph, s) AS ph, arg_min(x, s) AS x FROM {_NOTES_ENT} GROUP BY id)"
+_MANIFEST_SQL = f"""SELECT CAST(r.id AS BIGINT) AS note_id, '{catalog.MANIFEST_VERSION}' AS version,
+       'red_' || substr(sha256(CAST(r.id AS VARCHAR) || chr(0) || r.text), 1, 8) AS redaction_id,
+       r.n_entities, f.ph AS first_placeholder, f.x AS first_original
+FROM {_NOTES_CHAIN} r LEFT JOIN {_FIRST} f ON f.id = r.id"""
+
+
+@register("manifest_json", _MANIFEST_SQL)
 def manifest_json(spark, sf):
-    """P9/IO4: serialised manifests (``to_json``), one per note."""
-    r = redacted_notes(spark, sf)
-    return r.select("note_id", F.to_json("manifest").alias("manifest_json"))
+    """P9/IO4: serialised manifests (``to_json``), read back field by field."""
+    r = redacted_notes(spark, sf).select(F.col("note_id").cast("bigint").alias("note_id"), F.to_json("manifest").alias("m"))
+    field = lambda path: F.get_json_object("m", path)
+    return r.select("note_id", field("$.version").alias("version"), field("$.redaction_id").alias("redaction_id"),
+                    field("$.stats.entities_found").cast("bigint").alias("n_entities"),
+                    field("$.placeholders[0].placeholder").alias("first_placeholder"),
+                    field("$.placeholders[0].original").alias("first_original"))
 
 
 # ---------------------------------------------------------------- rehydrate
@@ -144,7 +155,14 @@ def rehydrate_vault_join(spark, sf):
     return h.select(F.col("note_id").cast("bigint").alias("note_id"), "rehydrated_text")
 
 
-@register("rehydrate_errors")
+_ERRORS_SQL = f"""SELECT CAST(r.id AS BIGINT) AS note_id, err AS rehydrate_error, CASE WHEN err IS NULL THEN text END AS rehydrated_text
+FROM (SELECT r.id, r.text, CASE WHEN f.ph IS NULL THEN NULL
+             WHEN v.context = 'mortgage' THEN 'invalid placeholder format: ''[' || substr(f.ph, 2) || ''''
+             WHEN v.context = 'real_estate' THEN 'original value exceeds maximum length' END AS err
+      FROM {_NOTES_CHAIN} r JOIN {_NOTES_VALID} v ON v.id = r.id LEFT JOIN {_FIRST} f ON f.id = r.id) r"""
+
+
+@register("rehydrate_errors", _ERRORS_SQL)
 def rehydrate_errors(spark, sf):
     """H1-H7 error paths on JSON manifests derived from the notes' manifests:
     mortgage notes get a malformed first placeholder, tax notes a non-object
@@ -156,7 +174,7 @@ def rehydrate_errors(spark, sf):
     mj = (F.when(F.col("context") == "mortgage", bad_ph).when(F.col("context") == "tax_return", non_obj)
           .when(F.col("context") == "real_estate", long_orig).otherwise(F.col("mj")))
     h = H.rehydrate_json(r.withColumn("mj", mj), "sanitized_text", "mj")
-    return h.select("note_id", "rehydrate_error", "rehydrated_text")
+    return h.select(F.col("note_id").cast("bigint").alias("note_id"), "rehydrate_error", "rehydrated_text")
 
 
 # ---------------------------------------------------------------- screening

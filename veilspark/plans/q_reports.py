@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
+from ..operators.conversation import conversation_entries, redact_conversations
 from ..operators import redact as R
 from ..operators.normalize import nfc
 from ..sources import notes as N
@@ -90,62 +91,49 @@ _CONV_SQL_SRC = """(SELECT conv_id, turn, conv_id * 1000000 + turn AS row_id, te
    || ' Ref SSN ' || lpad(CAST((conv_id * 7919 + turn) % 1000000000 AS VARCHAR), 9, '0') || '.' AS text,
    'general' AS context FROM conversations)"""
 
+_CONV_PICK = """SELECT CAST(d.conv_id AS BIGINT) AS conv_id, CAST(d.turn AS BIGINT) AS turn, CAST(d.s AS BIGINT) AS pos_start,
+       '<' || n.fet || '_' || CAST(n.num AS VARCHAR) || '>' AS placeholder, d.et AS entity_type"""
+
 _CONV_SQL = f"""WITH d AS (SELECT c.conv_id, c.turn, x.s, x.e, x.et, x.x
            FROM {sqlgen.detect_sql(_CONV_SQL_SRC, 'row_id', 'text', 'context')} x
            JOIN {_CONV_SQL_SRC} c ON c.row_id = x.id),
 f AS (SELECT conv_id, x, arg_min(et, turn * 100000000 + s) AS fet, min(turn * 100000000 + s) AS fpos
       FROM d GROUP BY conv_id, x),
 n AS (SELECT conv_id, x, fet, row_number() OVER (PARTITION BY conv_id, fet ORDER BY fpos) AS num FROM f)
-SELECT CAST(d.conv_id AS BIGINT) AS conv_id, CAST(d.turn AS BIGINT) AS turn, CAST(d.s AS BIGINT) AS pos_start,
-       '<' || n.fet || '_' || CAST(n.num AS VARCHAR) || '>' AS placeholder, d.et AS entity_type
+{_CONV_PICK}
 FROM d JOIN n ON n.conv_id = d.conv_id AND n.x = d.x"""
 
 
-def conversation_entries(spark, sf) -> DataFrame:
-    """Numbering scoped to a conversation: the same text gets the same
-    placeholder in every turn; counters run in (turn, offset) order.
-
-    Spans are found in-row per turn; the scope needs one shuffle by
-    (conversation, text) for first occurrences and one by (conversation,
-    type) to number them — both partial, one row per distinct value."""
+def _conversations(spark, sf) -> DataFrame:
     c = tables.conversations(spark, sf)
-    c = c.select("conv_id", "turn", _conv_text(F.col("text"), F.col("conv_id"), F.col("turn"), F.col("role"))
-                 .alias("text"), F.lit("general").alias("context"))
-    d = D.detect_spans(c, "text", "context", "sp", raw=True)
-    e = explode_rows(d, ["conv_id", "turn"], "sp", "s").select(
-        "conv_id", "turn", F.col("s.start").alias("pos_start"), F.col("s.end").alias("pos_end"),
-        F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("x"))
-    # first occurrence of each text in the conversation (min by (turn, start))
-    first = e.groupBy("conv_id", "x").agg(F.min(F.struct("turn", "pos_start", "entity_type")).alias("f"))
-    w = Window.partitionBy("conv_id", F.col("f.entity_type")).orderBy(F.col("f.turn"), F.col("f.pos_start"))
-    numbered = first.select("conv_id", "x", F.col("f.entity_type").alias("fet"),
-                            F.row_number().over(w).alias("num"))
-    return e.join(numbered, ["conv_id", "x"]).withColumn(
-        "placeholder", F.concat(F.lit("<"), F.col("fet"), F.lit("_"), F.col("num").cast("string"), F.lit(">")))
+    return c.select("conv_id", "turn", _conv_text(F.col("text"), F.col("conv_id"), F.col("turn"), F.col("role"))
+                    .alias("text"), F.lit("general").alias("context"))
 
 
 @register("conversation_placeholders", _CONV_SQL)
 def conversation_placeholders(spark, sf):
-    e = conversation_entries(spark, sf)
-    return e.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
-                    F.col("pos_start").cast("bigint").alias("pos_start"), "placeholder", "entity_type")
+    """Numbering scoped to a conversation: the same text gets the same
+    placeholder in every turn; counters run in (turn, offset) order."""
+    rows, e = conversation_entries(_conversations(spark, sf))
+    return e.join(rows.select("_row", "conv_id", "turn"), "_row").select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+        F.col("start").cast("bigint").alias("pos_start"), "placeholder", "entity_type")
 
 
-@register("conversation_redact")
-def conversation_redact(spark, sf):
-    """X3 end to end: per-turn sanitized text with conversation-wide
-    placeholders (entries regrouped per turn, spliced in-row)."""
-    e = conversation_entries(spark, sf)
-    per_turn = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("pos_start").alias("start"), F.col("pos_end").alias("end"), "placeholder"))).alias("entries"))
-    c = tables.conversations(spark, sf)
-    c = c.select("conv_id", "turn", nfc(_conv_text(F.col("text"), F.col("conv_id"), F.col("turn"), F.col("role")))
-                 .alias("text"))
-    j = c.join(per_turn, ["conv_id", "turn"], "left").withColumn(
-        "entries", F.coalesce("entries", F.array().cast("array<struct<start:int,end:int,placeholder:string>>")))
-    return j.select("conv_id", "turn", R.splice(F.col("text"), F.col("entries")).alias("sanitized_text"))
+_CONV_REDACT_SQL = f"""WITH p AS (SELECT conv_id, turn, s, e, '<' || fet || '_' || CAST(num AS VARCHAR) || '>' AS ph,
+       lag(e, 1, 0) OVER (PARTITION BY conv_id, turn ORDER BY s) AS before FROM ({_CONV_SQL.replace(_CONV_PICK, "SELECT d.conv_id, d.turn, d.s, d.e, n.fet, n.num")})),
+src AS (SELECT conv_id, turn, nfc_normalize(text) AS text FROM {_CONV_SQL_SRC}),
+agg AS (SELECT p.conv_id, p.turn, string_agg(substring(src.text, before + 1, s - before) || ph, '' ORDER BY s) AS head, max(e) AS last
+        FROM p JOIN src ON src.conv_id = p.conv_id AND src.turn = p.turn GROUP BY p.conv_id, p.turn)
+SELECT src.conv_id, src.turn, coalesce(head, '') || substring(src.text, CAST(coalesce(last, 0) + 1 AS BIGINT)) AS sanitized_text
+FROM src LEFT JOIN agg ON src.conv_id = agg.conv_id AND src.turn = agg.turn"""
 
 
+@register("conversation_redact", _CONV_REDACT_SQL)
+def conversation_redact(spark, sf):
+    """X3 end to end: per-turn sanitized text with conversation-wide placeholders."""
+    return redact_conversations(_conversations(spark, sf)).select("conv_id", "turn", "sanitized_text")
+
 
 _PII_WINDOW_SQL = f"""SELECT strftime(o.o_orderdate, '%Y-%m') AS month, x.et AS entity_type, CAST(count(*) AS BIGINT) AS n
 FROM {sqlgen.detect_sql(_NOTES)} x JOIN orders o ON o.o_orderkey = x.id

@@ -5,6 +5,10 @@ are folded in event-time order; an event-time timeout set to ``last_ts +
 stale_seconds`` evicts idle keys once the watermark passes it, which is the
 eviction rule of the batch operator (state TTL), so keys that go quiet do
 not accumulate in the state store.
+
+A row older than what its key's state has seen already comes out as ``late``
+with null decisions and does not touch the state: time never runs backwards.
+(Rows older than the watermark never reach the operator.)
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import catalog
 
-OUT_SCHEMA = "k string, id long, ts_s double, allowed boolean, retry_after double"
+OUT_SCHEMA = "k string, id long, ts_s double, allowed boolean, retry_after double, late boolean"
 STATE_SCHEMA = "tokens double, last_ts double"
 
 
@@ -36,11 +40,16 @@ def token_bucket_stream(events: DataFrame, key_col: str = "user_id", ts_col: str
             state.remove()
             yield pd.DataFrame({"k": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
                                 "ts_s": pd.Series([], dtype="float64"), "allowed": pd.Series([], dtype=bool),
-                                "retry_after": pd.Series([], dtype="float64")})
+                                "retry_after": pd.Series([], dtype="float64"), "late": pd.Series([], dtype=bool)})
             return
         # one key's rows of one micro-batch (bounded by the trigger size)
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_s", "id"], kind="stable")
         tokens, last = (state.get if state.exists else (None, None))
+        late = pdf["ts_s"] < (last if last is not None else float("-inf"))
+        behind, pdf = pdf[late], pdf[~late]
+        if len(behind):
+            yield pd.DataFrame({"k": key[0], "id": behind["id"].to_numpy(), "ts_s": behind["ts_s"].to_numpy(),
+                                "allowed": None, "retry_after": None, "late": True})
         allowed, retry = [], []
         for t in pdf["ts_s"].to_numpy():
             if tokens is None or t - last > stale_seconds:
@@ -55,9 +64,10 @@ def token_bucket_stream(events: DataFrame, key_col: str = "user_id", ts_col: str
                 allowed.append(False)
                 retry.append(round((1.0 - tokens) / rate, 1))
         state.update((tokens, last))
-        state.setTimeoutTimestamp(int((last + stale_seconds) * 1000))
-        yield pd.DataFrame({"k": key[0], "id": pdf["id"].to_numpy(), "ts_s": pdf["ts_s"].to_numpy(),
-                            "allowed": allowed, "retry_after": retry})
+        state.setTimeoutTimestamp(max(int((last + stale_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        if len(pdf):
+            yield pd.DataFrame({"k": key[0], "id": pdf["id"].to_numpy(), "ts_s": pdf["ts_s"].to_numpy(),
+                                "allowed": allowed, "retry_after": retry, "late": False})
 
     return src.groupBy("k").applyInPandasWithState(
         fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

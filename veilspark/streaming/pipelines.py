@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.detect import detect
 from ..operators.redact import redact
+from ..operators.screen import screen
 
 
 def redact_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -22,6 +24,16 @@ def redact_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     "output_valid")
 
 
+def detect_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_col: str = "context") -> DataFrame:
+    """Map-only streaming detection: the entities of each document."""
+    return detect(docs, text_col, context_col).select(id_col, "entities")
+
+
+def screen_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Map-only streaming injection screening."""
+    return screen(docs, text_col).select(id_col, "injection_patterns", "injection_score", "injection_detected")
+
+
 def windowed_rate(events: DataFrame, ts_col: str, flag_col: str, window: str = "1 day",
                   watermark: str = "1 day", group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Per event-time window: number of rows and number with ``flag_col`` true."""
