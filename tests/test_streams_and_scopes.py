@@ -85,3 +85,15 @@ def test_no_lambda_hides_a_second_numbering(spark):
     text = "a@b.co " * 300
     got = R.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), envelope=False).collect()[0]
     assert (got.sanitized_text, got.manifest.stats.entities_found) == (model.redact(model.sanitize(text)[0])[0], 300)
+
+
+def test_keyed_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    from veilspark.operators.reports import keyed_hash
+    df = spark.createDataFrame([("123-45-6789",), ("é",), ("",)], "v string")
+    for key in (b"k", b"x" * 100):
+        got = {r.v: r.h for r in df.select("v", keyed_hash(F.col("v"), key).alias("h")).collect()}
+        assert got == {v: hmac.new(key, v.encode(), hashlib.sha256).hexdigest() for v in got}
+    assert df.select(keyed_hash(F.col("v")).alias("h")).first().h == hashlib.sha256(b"123-45-6789").hexdigest()

@@ -157,6 +157,35 @@ def allow_effect(spark, sf):
         F.sum((~F.col("allowed")).cast("int")).cast("bigint").alias("n_redacted"))
 
 
+# Values for every allow pattern, in SQL that both engines read the same way.
+_ALLOW_LISTS = {9: "AGI|MAGI|QBI|RMD|QCD|NUA|IRA|SEP|SIMPLE|401k|403b|457b|529|HSA|FSA|W2|W-2|1099|ROI",
+                10: "LTV|DTI|PMI|PITI|MIP|UFMIP|ARM|FRM|HELOC|HEL|LTVX", 11: "TILA|RESPA|ECOA|HMDA|TRID|URLA|QM|ATR|tila",
+                12: "DU|LP|AUS|GFE|LE|CD|HUD|CDX", 13: "ALTA|CLTA|CPL|FNMA|FHLMC|GNMA|alta", 14: "VOE|VOD|VOM|VOR|VOX"}
+_ALLOW_KINDS = {
+    1: "'$' || CAST(price AS STRING) || CASE WHEN k % 3 = 0 THEN 'k' WHEN k % 3 = 1 THEN '.5' ELSE '' END",
+    2: "CAST(price % 999 + 1 AS STRING) || ',' || lpad(CAST(k % 1000 AS STRING), 3, '0') || CASE WHEN k % 2 = 0 THEN '.25' ELSE '' END",
+    3: "CAST(k % 100 AS STRING) || CASE WHEN k % 2 = 0 THEN '.75 %' ELSE '%' END",
+    4: "CAST(k % 40 AS STRING) || '% ' || split_part('bracket|rate|tier|band', '|', CAST(k % 4 + 1 AS INT))",
+    5: "CAST(k % 500 AS STRING) || split_part(' bp| bps| basis points|bips', '|', CAST(k % 4 + 1 AS INT))",
+    6: "CAST(2000 + k % 110 AS STRING)",
+    7: "split_part('age |Age |AGE |aged ', '|', CAST(k % 4 + 1 AS INT)) || CAST(k % 120 AS STRING)",
+    8: "split_part('Form |Schedule |IRC |form ', '|', CAST(k % 4 + 1 AS INT)) || CAST(k % 9999 AS STRING)",
+} | {i: f"split_part('{v}', '|', CAST(k % {v.count('|') + 1} + 1 AS INT))" for i, v in _ALLOW_LISTS.items()}
+_ALLOW_VALUES_SQL = f"""SELECT kind, value, CAST(count(*) AS BIGINT) AS n, bool_and({sqlgen.allow_condition('value')}) AS allowed
+FROM ({" UNION ALL ".join(f"SELECT {i} AS kind, {e} || CASE WHEN k % 7 = 0 THEN 'x' ELSE '' END AS value FROM o" for i, e in _ALLOW_KINDS.items())})
+GROUP BY kind, value"""
+
+
+@register("allow_values", f"WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders) {_ALLOW_VALUES_SQL}")
+def allow_values(spark, sf):
+    """A1-A14 one by one: amounts, rates, years, forms and abbreviations made
+    from the orders, with near-misses, against the allow-list."""
+    o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("bigint").alias("price"))
+    kinds = ", ".join(f"struct({i} AS kind, {e} || CASE WHEN k % 7 = 0 THEN 'x' ELSE '' END AS value)" for i, e in _ALLOW_KINDS.items())
+    v = o.select(F.inline(F.expr(f"array({kinds})")))
+    return v.groupBy("kind", "value").agg(F.count("*").cast("bigint").alias("n")).withColumn("allowed", S.allow_match(F.col("value")))
+
+
 # ---------------------------------------------------------------- gazetteer
 def _gazetteer_terms(spark, sf) -> list[str]:
     """Place names from the nation and region dimensions (a fixed list of a few dozen;

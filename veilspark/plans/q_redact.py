@@ -11,6 +11,7 @@ from .. import catalog
 from ..functions import dialect
 from ..operators import audit as A
 from ..operators import rehydrate as H
+from ..operators import reports
 from ..operators import screen as SC
 from ..operators.redact import redact
 from ..operators.sanitize import sanitize
@@ -203,9 +204,7 @@ GROUP BY label"""
 def injection_report(spark, sf):
     """Notes per injection label and the mean score of those notes."""
     s = SC.screen(sanitize(N.notes(spark, sf).select("note_id", "text"), "text"), "text")
-    e = explode_rows(s, ["injection_score"], "injection_patterns", "label")
-    return e.groupBy("label").agg(F.count("*").cast("bigint").alias("n_notes"),
-                                  F.round(F.avg("injection_score"), 4).alias("mean_score"))
+    return reports.injection_labels(s).withColumnRenamed("n", "n_notes")
 
 
 _DOC_INJ_SQL = f"""SELECT label, CAST(count(*) AS BIGINT) AS n_docs

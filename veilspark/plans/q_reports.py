@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
 from ..operators.conversation import conversation_entries, redact_conversations
-from ..operators import redact as R
-from ..operators.normalize import nfc
+from ..operators import reports
 from ..sources import notes as N
 from ..sources import tables
 from . import sqlgen
@@ -32,9 +31,7 @@ GROUP BY ROLLUP (d.lang, d.source, x.et)"""
 @register("pii_profile_rollup", _ROLLUP_SQL)
 def pii_profile_rollup(spark, sf):
     """Detected entities by language x source x type with subtotals."""
-    e = explode_rows(detected_documents(spark, sf), ["lang", "source"], "sp", "s")
-    return e.rollup("lang", "source", F.col("s.entity_type").alias("entity_type")).agg(
-        F.count("*").cast("bigint").alias("n"))
+    return reports.profile(detected_documents(spark, sf), ["lang", "source"], "sp")
 
 
 _TOP_SQL = f"""SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(count(x.id) AS BIGINT) AS n_entities
@@ -46,8 +43,7 @@ GROUP BY d.doc_id ORDER BY n_entities DESC, doc_id ASC LIMIT 10"""
 def top_sensitive_docs(spark, sf):
     """The ten documents with most detected entities (top-k is the
     feature; ties by id)."""
-    d = detected_documents(spark, sf).select("doc_id", F.size("sp").cast("bigint").alias("n_entities"))
-    return d.orderBy(F.col("n_entities").desc(), F.col("doc_id").asc()).limit(10)
+    return reports.most_sensitive(detected_documents(spark, sf), 10, spans_col="sp")
 
 
 _NOTES = f"({N.notes_sql()})"
@@ -58,19 +54,9 @@ FROM {sqlgen.detect_sql(_NOTES)} GROUP BY x, et HAVING count(DISTINCT id) > 1"""
 
 @register("repeated_values", _REPEAT_SQL)
 def repeated_values(spark, sf):
-    """Sensitive values seen in more than one note, reported by hash only.
-
-    Two aggregation levels instead of a distinct count: (value, type, note)
-    first — spread over all notes — then (value, type) with map-side partial
-    sums, so even a value present in a third of all notes sends one partial
-    row per map task to its reducer."""
+    """Sensitive values seen in more than one note, reported by hash only."""
     d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True)
-    e = explode_rows(d, ["note_id"], "sp", "s").select(
-        "note_id", F.col("s.text").alias("x"), F.col("s.entity_type").alias("entity_type"))
-    per_note = e.groupBy("x", "entity_type", "note_id").agg(F.count("*").alias("c"))
-    g = per_note.groupBy("x", "entity_type").agg(F.sum("c").cast("bigint").alias("n"),
-                                                 F.count("*").cast("bigint").alias("n_notes"))
-    return g.filter(F.col("n_notes") > 1).select(F.sha2("x", 256).alias("value_hash"), "entity_type", "n", "n_notes")
+    return reports.repeated_values(d, "note_id", "sp").withColumnRenamed("n_rows", "n_notes")
 
 
 # ------------------------------------------------------ conversation scope
