@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import re
 
+import regex
+
 _LEADING_FLAGS = re.compile(r"^\(\?([a-zA-Z]+)\)")
 
 
@@ -77,12 +79,31 @@ def _uncapture(pattern: str, keep: int | None = None) -> str:
     return out
 
 
+_BACK_REFERENCE = re.compile(r"(?<!\\)(?:\\\\)*\\[1-9]|\(\?P=|\\g<|\\k<")
+
+
+def validate(pattern: str, group: int) -> None:
+    """Refuse what the rewrite around the value cannot express: patterns that
+    do not compile, back-references (group numbers change) and a value group
+    that is itself repeated (only its last turn would be the value)."""
+    regex.compile(pattern)
+    _, body = split_flags(pattern)
+    if _BACK_REFERENCE.search(body):
+        raise ValueError(f"back-references are not supported: {pattern!r}")
+    caps = [g for g in _scan_groups(body) if g[2]]
+    if group and len(caps) >= group:
+        after = body[caps[group - 1][1] + 1:][:1]
+        if after and after in "*+?{":
+            raise ValueError(f"the value group may not be repeated: {pattern!r}")
+
+
 def three_group_parts(pattern: str, group: int) -> tuple[str, str, str, str]:
     """Split a pattern into (flags, prefix, value, suffix) around its value.
 
     ``group`` = 0: the whole match is the value.  ``group`` = 1: the value is
     the first capturing group; all other capturing groups become non-capturing.
     """
+    validate(pattern, group)
     flags, body = split_flags(pattern)
     if group == 0:
         return flags, "", _uncapture(body), ""

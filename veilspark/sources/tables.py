@@ -48,36 +48,46 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Requests ``{doc_id, text, context}`` from JSON lines / Parquet with an
-    explicit schema (no inference)."""
-    return spark.read.schema(REQUEST_SCHEMA).format(fmt).load(path)
+    explicit schema (no inference).  A JSON line that cannot be read stays,
+    whole, in ``_corrupt_record``."""
+    if fmt != "json":
+        return spark.read.schema(REQUEST_SCHEMA).format(fmt).load(path)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in REQUEST_SCHEMA] + [T.StructField(CORRUPT, T.StringType(), True)])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """One document per file (``wholetext``), id = hash of the path."""
-    df = spark.read.option("wholetext", "true").text(path).withColumn("path", F.input_file_name())
+    df = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return df.select(
         F.xxhash64("path").alias("doc_id"), F.col("value").alias("text"),
         F.lit(catalog.DEFAULT_CONTEXT).alias("context"),
     )
 
 
+def tag_requests(df: DataFrame, text_col: str = "text", context_col: str = "context",
+                 max_chars: int | None = catalog.MAX_REQUEST_CHARS) -> DataFrame:
+    """Adds ``reject_reason``: null, or why the request schema refuses the row:
+    a line that is no JSON object of the schema, no text, a text longer than
+    ``max_chars`` (None: no limit), a context outside the allowed set."""
+    reason = F.when(F.col(text_col).isNull(), F.lit("missing_text"))
+    if CORRUPT in df.columns:
+        reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_record")).when(F.col(text_col).isNull(), F.lit("missing_text"))
+    if max_chars is not None:
+        reason = reason.when(F.length(text_col) > max_chars, F.lit("text_too_long"))
+    known = F.coalesce(F.col(context_col), F.lit(catalog.DEFAULT_CONTEXT)).isin(list(catalog.CONTEXT_ENTITIES))
+    return df.withColumn("reject_reason", reason.when(~known, F.lit("unknown_context")))
+
+
 def split_requests(df: DataFrame, text_col: str = "text", context_col: str = "context",
                    max_chars: int | None = catalog.MAX_REQUEST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Request-schema enforcement: (accepted, quarantined).
-
-    Rejected: text longer than ``max_chars`` (None: no limit), or a context outside the
-    allowed set.  Two filters on the same deterministic predicate; nothing is
-    dropped silently — the quarantine carries a ``reject_reason``.
-    """
-    allowed = list(catalog.CONTEXT_ENTITIES)
-    reason = (
-        F.when(F.col(text_col).isNull(), F.lit("missing_text"))
-        .when(F.lit(max_chars is not None) & (F.length(text_col) > (max_chars or 0)), F.lit("text_too_long"))
-        .when(~F.coalesce(F.col(context_col), F.lit(catalog.DEFAULT_CONTEXT)).isin(allowed),
-              F.lit("unknown_context"))
-    )
-    tagged = df.withColumn("reject_reason", reason)
-    return (tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
-            tagged.filter(F.col("reject_reason").isNotNull()))
+    """(accepted, quarantined) by ``tag_requests``: nothing is dropped, the
+    quarantine carries the reason and, for malformed lines, the record."""
+    tagged = tag_requests(df, text_col, context_col, max_chars)
+    accepted = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return accepted.drop(CORRUPT), tagged.filter(F.col("reject_reason").isNotNull())
