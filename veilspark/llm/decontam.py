@@ -65,13 +65,27 @@ def _hash(s: str) -> int:
 _PLACEHOLDER = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>")], np.uint64)
 
 
-class Reader:
-    """Words -> (hash of the plain word, reading); a table of the words met."""
+_LINE = "\0"  # stands for a line end among the words
+_BREAK, _SKIP, _PAIR = 9, 8, 7  # kinds of entries that stand for a line end, for nothing and for two
+
+
+class Reader(dict):
+    """Word -> number of its entry; a table of the words met, filled as they come.
+
+    An entry has the hash of the plain word, its kind, whether it is
+    capitalised and whether it ends its sentence."""
 
     def __init__(self):
-        self.index: dict[str, tuple[int, ...]] = {}
+        super().__init__()
         self.n = 0
         self._grow(1 << 12)
+        self.pairs: dict[int, tuple[int, int]] = {}
+        self[_LINE] = self._entry("", _BREAK, False, True)
+        self.skip = self._entry("", _SKIP, False, False)
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = self._read(word)
+        return out
 
     def _grow(self, size: int) -> None:
         # hash of the plain word; kind (a unit only after a number); capitalised; ends its sentence
@@ -89,45 +103,47 @@ class Reader:
         self.n += 1
         return i
 
-    def read(self, word: str) -> tuple[int, ...]:
-        """Entries of one word: none for bare punctuation, two for a number with its unit."""
+    def _word(self, core: str, ends: bool) -> int:
+        plain = core.lower()
+        return self._entry(plain, _UNIT if plain in UNITS else _LITERAL, core[0].isupper() and core[1:].islower(), ends)
+
+    def _read(self, word: str) -> int:
+        """Entry of one word: the skipped one for bare punctuation, a pair for a number with its unit."""
+        if word.isalpha():
+            return self._word(word, False)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._word(word[:-1], word[-1] != ",")
         m = _CORE.search(word)
         if not m:
-            out: tuple[int, ...] = ()
-        else:
-            core, ends = m[0], bool(re.search(r"[.!?:;]", word[m.end():]))
-            plain = core.lower()
-            both = _NUMBER_UNIT.fullmatch(plain)
-            if _DIGITS.fullmatch(plain):
-                out = (self._entry(plain, _NUMBER, False, ends),)
-            elif both and both[2] in UNITS:
-                out = (self._entry(both[1], _NUMBER, False, False), self._entry(both[2], _UNIT, False, ends))
-            else:
-                title = core[0].isupper() and core[1:].islower()
-                out = (self._entry(plain, _UNIT if plain in UNITS else _LITERAL, title, ends),)
-        self.index[word] = out
-        return out
+            return self.skip
+        core, ends = m[0], bool(re.search(r"[.!?:;]", word[m.end():]))
+        plain = core.lower()
+        both = _NUMBER_UNIT.fullmatch(plain)
+        if _DIGITS.fullmatch(plain):
+            return self._entry(plain, _NUMBER, False, ends)
+        if both and both[2] in UNITS:
+            both_of = self._entry(plain, _PAIR, False, ends)
+            self.pairs[both_of] = self._entry(both[1], _NUMBER, False, False), self._entry(both[2], _UNIT, False, ends)
+            return both_of
+        return self._word(core, ends)
 
     def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the plain words, kinds) of a whole text."""
-        if len(self.index) > _KEPT:
+        if len(self) > _KEPT:
+            self.clear()
             self.__init__()
         # A sentence also ends with its line.
-        ids: list[int] = []
-        starts: list[int] = []
-        get, read = self.index.get, self.read
-        for line in (text or "").split("\n"):
-            starts.append(len(ids))
-            for w in line.split():
-                e = get(w)
-                ids.extend(read(w) if e is None else e)
-        i = np.array(ids, np.int64)
+        words = (text or "").replace("\n", f" {_LINE} ").split()
+        i = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if (self.kind[i] == _PAIR).any():
+            i = np.array([x for e in i.tolist() for x in self.pairs.get(e, (e,))], np.int64)
+        i = i[self.kind[i] != _SKIP]
+        first = np.ones(len(i), bool)
+        first[1:] = self.ends[i[:-1]]
+        real = self.kind[i] != _BREAK
+        i, first = i[real], first[real]
         if not len(i):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        first = np.zeros(len(i) + 1, bool)
-        first[starts] = True
-        first = first[:-1]
-        first[1:] |= self.ends[i[:-1]]
         k = self.kind[i]
         k[(k == _UNIT) & ~np.concatenate([[False], k[:-1] == _NUMBER])] = _LITERAL
         k[(k == _LITERAL) & self.title[i] & ~first] = _NAME
@@ -204,8 +220,9 @@ class Items:
     def search(self, words: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, float]]:
         """(item id, windows hit, best share within a stretch) of the items found."""
         near: dict[tuple[int, int], set[int]] = defaultdict(set)
+        named = (True, False) if (kinds == _NAME).any() else (True,)  # without names both readings are one
         for size, f in self.filters.items():
-            for names in (True, False):
+            for names in named:
                 h = _windows(words, kinds, size, names)
                 for p in np.flatnonzero(f[h >> np.uint64(64 - _FILTER_BITS)]).tolist():
                     for item, pos in self.at.get(int(h[p]), ()):
