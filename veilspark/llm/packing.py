@@ -10,8 +10,8 @@ sequence is full; what is left at its end is cut into sequences of powers of
 two, which need no padding.
 
 Ids are those of the library.  Plain Latin texts are normalised and split
-here, with the ids of each distinct piece taken from the library once; any
-other text, and one that may hold a special string, goes to it whole.
+here, and the library's model gives the ids of each new word; any other text,
+and one that may hold a special string, goes to the library whole.
 
 Defined results: null and empty texts are their end id alone.  Repeated rows
 are packed each.  An empty table gives an empty result.
@@ -20,6 +20,7 @@ are packed each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,67 +36,64 @@ from .common import Scratch, small_batches
 LENGTH = 2048
 TASK_TOKENS = 8_000_000
 _DIMS, _BITS, _BUCKETS = 3, 16, 256
-_KEPT = 400_000  # words, and pieces, whose ids are kept; beyond it a table starts anew
-_TOGETHER = 4096  # pieces given to the library at once
+_KEPT = 700_000  # words whose ids are kept; beyond it the table starts anew
 # As in the file's own pattern; white space by its property.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
+
 def _plain(text: str) -> bool:
     """Latin throughout, without the controls that str.split() takes for white space and the library does not."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return not ((c > 0x36F) | (c - 0x1C < 4)).any()
 
 
-class Ids:
-    """Texts -> ids as little-endian bytes.
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet of such files: printable Latin-1 bytes stand for
+    themselves, the others for the code points from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Ids(dict):
+    """Texts -> ids as little-endian bytes; the table holds word -> ids.
 
     A piece never holds white space, so the ids of a plain text are those of
-    its words in turn; words are cut into pieces, and the library is asked for
-    each distinct piece once, many of them in one text."""
+    its words in turn.  A new word is cut into pieces, whose ids are the
+    library's model's."""
 
     def __init__(self, spec: str):
+        super().__init__()
         self.tok = Tokenizer.from_str(spec)
+        self.model = self.tok.model
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.chars = str.maketrans(_byte_chars())
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            out = self._piece(word)
+        elif word[:-1].isalpha() and not word[-1].isalnum():
+            out = self[word[:-1]] + self[word[-1]]
+        else:
+            out = b"".join(map(self._piece, _PIECES.findall(word)))
+        self[word] = out
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > _KEPT:
-            self.words.clear()
-        if len(self.pieces) > _KEPT:
-            self.pieces.clear()
-        cut = {w: _PIECES.findall(w) for w in words}
-        new = sorted({p for c in cut.values() for p in c}.difference(self.pieces))
-        for a in range(0, len(new), _TOGETHER):
-            part = new[a:a + _TOGETHER]
-            found = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, self.type)
-            at = np.array(found.word_ids, np.int64)  # which piece each id is of
-            ends = np.searchsorted(at, np.arange(len(part) + 1)).tolist()
-            for i, p in enumerate(part):
-                self.pieces[p] = ids[ends[i]:ends[i + 1]].tobytes()
-        for w, c in cut.items():
-            self.words[w] = b"".join([self.pieces[p] for p in c])
-
     def of(self, text: str) -> bytes:
-        return self.of_all([text])[0]
-
-    def of_all(self, texts: list[str]) -> list[bytes]:
-        plain: list[list[str] | None] = []
-        for t in texts:
-            ok = _plain(t) and not any(s in t for s in self.special)
-            plain.append(unicodedata.normalize("NFC", t).lower().split() if ok else None)
-        missing = set().union(*[w for w in plain if w]).difference(self.words)
-        if missing or len(self.words) > _KEPT:
-            if len(self.words) > _KEPT:  # the table starts anew with this batch's words
-                missing = set().union(*[w for w in plain if w])
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, plain, strict=True)]
+        if not _plain(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        if len(self) > _KEPT:
+            self.clear()
+        return b"".join(map(self.__getitem__, unicodedata.normalize("NFC", text).lower().split()))
 
 
 def _directions() -> np.ndarray:
@@ -192,7 +190,7 @@ def tokenise(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_
         get = _known[which]
         end = np.array([end_id], get.type).tobytes()
         for s in batches:
-            raw = [x + end for x in get.of_all([t or "" for t in s])]
+            raw = [x + end for x in map(get.of, [t or "" for t in s])]
             arrays = [np.frombuffer(r, get.type) for r in raw]
             keys = curve_keys(arrays) if raw else []
             yield pd.DataFrame({"ids": raw, "n": [len(a) for a in arrays], "key": keys})
