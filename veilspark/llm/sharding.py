@@ -90,7 +90,8 @@ def assign_shards(df: DataFrame, limit_bytes: int, key_col: str = "doc_id", text
         slots = open_.withColumn("slot", F.expr(_prefix("h", depth)))
         sums = scratch.cut(slots.groupBy("slot").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
         index = scratch.cut(directory(sums, depth, limit_bytes, above).join(sums.select("slot", "bytes"), "slot"))
-        placed = slots.join(index.withColumnRenamed("bytes", "size"), "slot")
+        # The directory grows with the table, so it is dealt out like the rows.
+        placed = slots.join(index.withColumnRenamed("bytes", "size").hint("merge"), "slot")
         done.append(placed.where("fits").select(
             key, "n_bytes", "local_depth", F.expr(
                 f"if(local_depth = 0, '-', right(lpad(bin({_prefix('h', 'cast(local_depth as int)')}), {BITS}, '0'), local_depth))").alias("shard")))
