@@ -8,6 +8,7 @@ Every operator is a ``DataFrame -> DataFrame`` transform::
 
 from .operators.admission import token_bucket
 from .operators.audit import audit, audit_json
+from .operators.conversation import redact_conversations
 from .operators.detect import detect, detect_spans
 from .operators.normalize import normalize
 from .operators.redact import redact
@@ -16,6 +17,6 @@ from .operators.sanitize import sanitize
 from .operators.screen import screen
 
 __all__ = [
-    "audit", "audit_json", "detect", "detect_spans", "normalize", "redact", "rehydrate", "rehydrate_json",
+    "audit", "audit_json", "detect", "detect_spans", "normalize", "redact", "redact_conversations", "rehydrate", "rehydrate_json",
     "sanitize", "screen", "token_bucket", "vault_join",
 ]
