@@ -129,6 +129,24 @@ def test_html_layouts():
         assert html_extract.main_text(page, learnt) == text
 
 
+def test_html_names_of_wrappers_do_not_empty_a_page():
+    learnt = html_extract.weights(*html_extract.page_counts(LAYOUT.format(open="<article>", close="</article>")))
+    story = "".join(f"<p>Paragraph {i} of the story goes on for some more words.</p>" for i in range(9))
+    want = " ".join(f"Paragraph {i} of the story goes on for some more words." for i in range(9))
+    around = (('<body class="has-sidebar">', "</body>"), ('<body><div class="layout sidebar-right">', "</div></body>"),
+              ('<body><form id="form1">', "</form></body>"), ('<body><form id="form1"><fieldset>', "</fieldset></form></body>"))
+    menu = '<nav><a href="x">Menu</a></nav><div class="ad">Buy it</div>'
+    for a, z in around:
+        for b, y in (("", ""), ("<article>", "</article>"), ("<main>", "</main>"), ('<main class="has-sidebar">', "</main>"),
+                     ('<main><div class="layout sidebar-left">', "</div></main>")):
+            page = f'<html>{a}{menu}{b}{story}{y}<aside>More things</aside></html>{z}'
+            for w in (learnt, html_extract.DEFAULT):
+                assert html_extract.main_text(page, w) == want, (a, b)
+    # comments stay out, also as articles
+    notes = '<div id="comments"><ol class="comment-list"><li><article class="comment-body"><p>Nice post.</p></article></li></ol></div>'
+    assert html_extract.main_text(f"<body><article>{story}</article>{notes}</body>", learnt) == want
+
+
 def test_best_region_is_the_maximum_sum():
     rng = np.random.default_rng(3)
     for _ in range(300):

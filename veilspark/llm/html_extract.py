@@ -5,7 +5,10 @@ markup around them is worth (tag names, class and id words of all open
 elements, share of linked words), tags cost a little each; one linear scan
 finds the contiguous region of the largest sum.  Blocks of the region come out
 in page order, without those that their own markup names as something else
-(menus, adverts, forms, comments, ...), which take no part in the sums.
+(menus, adverts, forms, comments, ...), which take no part in the sums.  Only
+parts of a page are judged by their names: ``html`` and ``body``, elements
+around most of the main text and those around most of the page say nothing
+about what they hold, whatever they are called.
 
 Weights are log-odds learnt from labelled pages: a bounded sample of pages that
 mark their main text themselves (``article``, ``main``, ``articleBody``); what
@@ -55,6 +58,7 @@ MAIN_WORDS = frozenset("article content main post entry story body text articleb
 _PRIOR = 2.0
 _TAG_COST = 0.05
 _CAP = 3.0
+_WRAP = 0.8
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -81,10 +85,11 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks with their open elements ``(name, labels)`` and
-    the number of tags since the block before."""
+    """The page's text blocks with their open elements ``(name, labels, number)``
+    and the number of tags since the block before."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], int]] = []
+    n_elements = 0
     text: list[str] = []
     linked: list[str] = []
     path: tuple = ()
@@ -101,12 +106,12 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal path
-        if raw and not any(n in HIDDEN for n, _ in stack):
+        if raw and not any(e[0] in HIDDEN for e in stack):
             piece = html.unescape(raw)
             if not text:
                 path = tuple(e for e in stack if e[0] not in INLINE)
             text.append(piece)
-            if any(n == "a" for n, _ in stack):
+            if any(e[0] == "a" for e in stack):
                 linked.append(piece + " ")
 
     at = 0
@@ -137,7 +142,8 @@ def blocks(page: str) -> list[Block]:
                     break
             if m[3].endswith("/") and name in {"svg", "math"}:
                 continue
-            stack.append((name, _labels(m[3])))
+            stack.append((name, _labels(m[3]), n_elements))
+            n_elements += 1
             if name in RAW:  # no markup inside
                 end = re.compile(rf"</{name}\b", re.I).search(page, at)
                 at = end.start() if end else len(page)
@@ -146,16 +152,51 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _is_main(e: tuple[str, frozenset[str]]) -> bool:
+def _is_main(e: tuple) -> bool:
     return e[0] in MAIN or "articlebody" in e[1] or "main" in e[1]
 
 
-def _is_other(path: tuple) -> set[str]:
+def _whole(found: list[Block]) -> list[set[int]]:
+    """For each block, the numbers of its open elements that are too large a part of the page to be judged by their names.
+
+    Of a main element and what is around it, those with more than half of all words in main elements; below the innermost
+    main element, those with more than ``_WRAP`` of its words (comments may be longer than what they comment on); on
+    other paths, those with more than half of the page's words."""
+    words, main_words = Counter(), Counter()
+    depth = []
+    for b in found:
+        depth.append(max((i for i, e in enumerate(b.path) if _is_main(e)), default=-1))
+        for e in b.path:
+            words[e[2]] += b.words
+            if depth[-1] >= 0:
+                main_words[e[2]] += b.words
+    total = sum(b.words for b in found)
+    total_main = sum(b.words for b, at in zip(found, depth, strict=True) if at >= 0)
+    out = []
+    for b, at in zip(found, depth, strict=True):
+        large = set()
+        for i, e in enumerate(b.path):
+            if i <= at:
+                over = 2 * main_words[e[2]] > total_main
+            elif at >= 0:
+                over = words[e[2]] > _WRAP * words[b.path[at][2]]
+            else:
+                over = 2 * words[e[2]] > total
+            if over or e[0] in ("html", "body"):
+                large.add(e[2])
+        out.append(large)
+    return out
+
+
+def _is_other(path: tuple, whole: set[int]) -> set[str]:
     """The features by which the markup itself says that a block is no main text."""
     inside = False
     out = set()
-    for name, labels in path:
-        inside = inside or _is_main((name, labels))
+    for e in path:
+        name, labels, number = e
+        inside = inside or _is_main(e)
+        if number in whole:
+            continue
         if name in NOT_MAIN or (name == "header" and not inside):
             out.add(f"<{name}>")
         if labels & OTHER_WORDS and not labels & MAIN_WORDS:
@@ -163,11 +204,14 @@ def _is_other(path: tuple) -> set[str]:
     return out
 
 
-def _features(b: Block) -> set[str]:
-    out = {f"<{n}>" for n, _ in b.path if n not in ("html", "body")}
-    for _, labels in b.path:
-        out |= {f".{w}" for w in labels}
-    if b.path:
+def _features(b: Block, whole: set[int]) -> set[str]:
+    out = set()
+    for name, labels, number in b.path:
+        judged = number not in whole
+        if name not in ("html", "body") and (judged or name not in NOT_MAIN):
+            out.add(f"<{name}>")
+        out |= {f".{w}" for w in (labels if judged else labels - OTHER_WORDS)}
+    if b.path and (b.path[-1][2] not in whole or b.path[-1][0] not in NOT_MAIN):
         out.add(f"in {b.path[-1][0]}")
     out.add(_linked(b))
     return out
@@ -192,12 +236,12 @@ def page_counts(page: str) -> tuple[Counter, Counter] | None:
     """Words per feature inside and outside of the main element; None for pages without exactly that markup."""
     found = blocks(page)
     inside, outside = Counter(), Counter()
-    for b in found:
-        other = _is_other(b.path)
+    for b, whole in zip(found, _whole(found), strict=True):
+        other = _is_other(b.path, whole)
         main = any(_is_main(e) for e in b.path) and not other
         side = inside if main else outside
         # What a menu's own markup explains says nothing about lists as such.
-        for f in other | {_linked(b)} if other else _features(b):
+        for f in other | {_linked(b)} if other else _features(b, whole):
             side[f] += 1
         side[""] += 1
     return (inside, outside) if inside[""] and outside[""] else None
@@ -239,12 +283,12 @@ def main_text(page: str | None, learnt: dict[str, float]) -> str:
         absent = 0.0
     kept, scores = [], []
     tags = 0
-    for b in found:
+    for b, whole in zip(found, _whole(found), strict=True):
         tags += b.tags
-        if _is_other(b.path):
+        if _is_other(b.path, whole):
             tags = 0
             continue
-        w = sum(learnt.get(f, _prior(f)) for f in _features(b))
+        w = sum(learnt.get(f, _prior(f)) for f in _features(b, whole))
         if absent and not any(_is_main(e) for e in b.path):
             w += absent
         w = max(-_CAP, min(_CAP, w))
