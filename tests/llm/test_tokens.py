@@ -134,6 +134,27 @@ def test_templates_and_slots():
     assert _found("9 9 9 9 9 9 9 9 9", [(4, "1 2 3 4 5 6 7 8")]) == []
 
 
+def test_names_that_open_sentences_and_names_of_several_words():
+    eggs = "Janet has 16 eggs. Janet eats 3 eggs each morning. Janet sells 9 eggs to Tom."
+    other = "Maria has 20 eggs. Maria eats 4 eggs each morning. Maria sells 7 eggs to Paul."
+    assert _found(other, [(5, eggs)]) == [5]
+    assert _found(f"so he said:\n{other}\nThen more.", [(5, eggs)]) == [5]
+    assert _found(eggs.lower(), [(5, eggs)]) == [5]
+    assert _found(other.replace("Maria sells", "Anna sells").replace("Maria eats", "Paul eats"), [(5, eggs)]) == []
+    # the name opens a sentence in one text only
+    assert _found(f"it is said that {other}", [(5, eggs)]) == [5]
+    trip = "A bus from New York to Boston takes 4 hours and a seat costs 30 dollars."
+    for a, b in (("Paris", "Lyon"), ("Paris", "Le Havre"), ("San Luis Obispo", "Lyon")):
+        assert _found(trip.replace("New York", a).replace("Boston", b).replace("30", "45"), [(6, trip)]) == [6]
+        assert _found(trip, [(6, trip.replace("New York", a).replace("Boston", b))]) == [6]
+    pens = "Mary Ann Smith buys 5 red pens and 3 blue books in the shop."
+    assert _found(pens.replace("Mary Ann Smith", "Tom").replace("5", "8"), [(7, pens)]) == [7]
+    assert _found(pens.replace("Mary Ann Smith", "Tom Jones").replace("5", "8"), [(7, pens)]) == [7]
+    # other words at the opening of sentences do not hide a copy
+    long = "The a b c d e f g. The h i j k l m n o p q r."
+    assert _found(long.replace("The a", "An a"), [(8, long)]) == [8]
+
+
 def test_decontamination_query_equals_brute_force(spark):
     docs = read(spark, SF_SMALL, "documents").collect()
     bench = read(spark, SF_SMALL, "benchmark").collect()

@@ -1,12 +1,15 @@
 """Benchmark decontamination by template windows.
 
 Texts are brought to a template: words without the punctuation around them, in
-lower case; numbers, names (capitalised inside a sentence) and units (after a
-number) become typed placeholders.  Windows of ``WINDOW`` template words of
-every item go to a hash table, which the windows of every document are joined
-with.  A window of fewer than ``LITERALS`` plain words stands for itself, so
-that runs of placeholders do not meet; windows with names are also filed with
-the names as plain words, for texts that lost their capitals.
+lower case; numbers, names (capitalised words) and units (after a number)
+become typed placeholders.  Windows of ``WINDOW`` template words of every item
+go to a hash table, which the windows of every document are joined with.  A
+window of fewer than ``LITERALS`` plain words stands for itself, so that runs
+of placeholders do not meet.  Windows are filed under several readings: a
+capitalised word that opens a sentence as name and as plain word; names also
+as plain words, for texts that lost their capitals; and names of several words
+also as one slot, with and without the word that opens the sentence, so that
+names of different lengths keep the alignment.
 
 Hits of a document and an item on one alignment are then checked slot by slot:
 the item's numbers, names and units must map one to one to the document's.  An
@@ -49,7 +52,7 @@ UNITS = frozenset("km m cm mm mi mile miles ft foot feet inch inches yard yards
                   "l ml liter liters litre litres gallon gallons h hr hrs hour hours min mins minute minutes s sec secs second seconds day days "
                   "week weeks month months year years dollar dollars euro euros cent cents usd eur gbp percent degree degrees "
                   "kmh mph kb mb gb tb w kw v a hz khz mhz ghz".split())
-_LITERAL, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
+_LITERAL, _NUMBER, _NAME, _UNIT, _OPENING = 0, 1, 2, 3, 4  # a capitalised word that opens its sentence is a name or none
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _DIGITS = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 _NUMBER_UNIT = re.compile(r"(\d+(?:[.,]\d+)*)([^\W\d_]+)")
@@ -62,7 +65,7 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
-_PLACEHOLDER = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>")], np.uint64)
+_PLACEHOLDER = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>"), _hash("<name>")], np.uint64)
 
 
 _LINE = "\0"  # stands for a line end among the words
@@ -146,16 +149,51 @@ class Reader(dict):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8)
         k = self.kind[i]
         k[(k == _UNIT) & ~np.concatenate([[False], k[:-1] == _NUMBER])] = _LITERAL
-        k[(k == _LITERAL) & self.title[i] & ~first] = _NAME
+        title = (k == _LITERAL) & self.title[i]
+        k[title] = np.where(first[title], _OPENING, _NAME)
         return self.hash[i], k
 
 
-def _windows(words: np.ndarray, kinds: np.ndarray, size: int, names: bool) -> np.ndarray:
-    """Hash of each window; with or without names as placeholders."""
+def _folded(words: np.ndarray, kinds: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The template with words that are ``more`` of a name folded into the word before them."""
+    start = np.flatnonzero(~more)
+    offset = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
+    kind = kinds[start]
+    kind[np.diff(np.append(start, len(words))) > 1] = _NAME
+    return np.add.reduceat(words * np.power(_MULT, offset.astype(np.uint64)), start), kind
+
+
+def _sequences(words: np.ndarray, kinds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The template word by word; where that differs, also with each run of
+    name words as one slot, with and without the word that opens the sentence."""
+    out = [(words, kinds)]
+    name = kinds == _NAME
+    inside = name & np.concatenate([[False], name[:-1]])
+    whole = name & np.concatenate([[False], (name | (kinds == _OPENING))[:-1]])
+    if whole.any():
+        out.append(_folded(words, kinds, whole))
+        if inside.any() and (inside != whole).any():
+            out.append(_folded(words, kinds, inside))
+    return out
+
+
+def _slots(kinds: np.ndarray, folded: bool) -> list[np.ndarray]:
+    """Which kinds are placeholders, for each reading that differs."""
+    names, opening = (kinds == _NAME).any(), (kinds == _OPENING).any()
+    out = [np.array([False, True, True, True, True])] if opening else []
+    if names:
+        out.append(np.array([False, True, True, True, False]))
+    if not folded:
+        out.append(np.array([False, True, False, True, False]))
+    return out
+
+
+def _windows(words: np.ndarray, kinds: np.ndarray, size: int, slots: np.ndarray) -> np.ndarray:
+    """Hash of each window, with the kinds in ``slots`` as placeholders."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    slot = kinds != _LITERAL if names else (kinds != _LITERAL) & (kinds != _NAME)
+    slot = slots[kinds]
     codes = np.where(slot, _PLACEHOLDER[kinds], words)
     plain = np.concatenate([[0], np.cumsum(~slot)])
     few = plain[size:] - plain[:-size] < min(LITERALS, size)
@@ -180,34 +218,37 @@ class Items:
         reader = Reader()
         self.similarity = similarity
         self.ids = [i for i, _ in rows]
-        self.templates = [reader.template(t) for _, t in rows]
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.sizes = [min(WINDOW, len(w)) for w, _ in self.templates]
-        for n, (w, k) in enumerate(self.templates):
-            if len(w):
-                for names in (True, False):
-                    for pos, h in enumerate(_windows(w, k, self.sizes[n], names).tolist()):
-                        if (n, pos) not in at[h]:
-                            at[h].append((n, pos))
-        self.at = dict(at)
+        self.templates = [_sequences(*reader.template(t)) for _, t in rows]
+        self.sizes = [[min(WINDOW, len(w)) for w, _ in t] for t in self.templates]
+        # size -> hash -> (item, sequence, position)
+        self.at: dict[int, dict[int, dict[tuple[int, int, int], None]]] = defaultdict(lambda: defaultdict(dict))
+        for n, t in enumerate(self.templates):
+            for q, (w, k) in enumerate(t):
+                if len(w):
+                    size = self.sizes[n][q]
+                    for slots in _slots(k, q > 0):
+                        for pos, h in enumerate(_windows(w, k, size, slots).tolist()):
+                            self.at[size][h][n, q, pos] = None
         self.filters = {}
-        for size in set(self.sizes) - {0}:
+        for size, at in self.at.items():
             f = np.zeros(1 << _FILTER_BITS, bool)
-            keys = np.array([h for h, p in self.at.items() if any(self.sizes[n] == size for n, _ in p)], np.uint64)
-            f[keys >> np.uint64(64 - _FILTER_BITS)] = True
+            f[np.fromiter(at, np.uint64, len(at)) >> np.uint64(64 - _FILTER_BITS)] = True
             self.filters[size] = f
 
-    def _consistent(self, item: int, shift: int, hits: list[int], words: np.ndarray, kinds: np.ndarray) -> list[int]:
+    def _consistent(self, item: int, q: int, shift: int, hits: list[int], words: np.ndarray, kinds: np.ndarray) -> list[int]:
         """Hits whose slots map one to one, in the order of the item."""
-        iw, ik = self.templates[item]
+        iw, ik = self.templates[item][q]
         there: dict[int, int] = {}
         back: dict[int, int] = {}
         out = []
         for p in hits:
             new = []
-            for q in range(p, p + self.sizes[item]):
-                if ik[q] != _LITERAL or kinds[q + shift] != _LITERAL:
-                    a, b = int(iw[q]), int(words[q + shift])
+            for i in range(p, p + self.sizes[item][q]):
+                kind, other = ik[i], kinds[i + shift]
+                if kind != _LITERAL or other != _LITERAL:
+                    a, b = int(iw[i]), int(words[i + shift])
+                    if a == b and _OPENING in (kind, other):  # the same plain word
+                        continue
                     if there.get(a, b) != b or back.get(b, a) != a:
                         break
                     new.append((a, b))
@@ -219,23 +260,24 @@ class Items:
 
     def search(self, words: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, float]]:
         """(item id, windows hit, best share within a stretch) of the items found."""
-        near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        named = (True, False) if (kinds == _NAME).any() else (True,)  # without names both readings are one
-        for size, f in self.filters.items():
-            for names in named:
-                h = _windows(words, kinds, size, names)
-                for p in np.flatnonzero(f[h >> np.uint64(64 - _FILTER_BITS)]).tolist():
-                    for item, pos in self.at.get(int(h[p]), ()):
-                        if self.sizes[item] == size:
-                            near[item, p - pos].add(pos)
+        near: dict[tuple[int, int, int, int], set[int]] = defaultdict(set)
+        sequences = _sequences(words, kinds)
+        for d, (w, k) in enumerate(sequences):
+            for size, f in self.filters.items():
+                at = self.at[size]
+                for slots in _slots(k, d > 0):
+                    h = _windows(w, k, size, slots)
+                    for p in np.flatnonzero(f[h >> np.uint64(64 - _FILTER_BITS)]).tolist():
+                        for item, q, pos in at.get(int(h[p]), ()):
+                            near[item, q, d, p - pos].add(pos)
         found: dict[int, tuple[int, float]] = {}
-        for (item, shift), pos in near.items():
-            total = len(self.templates[item][0]) - self.sizes[item] + 1
+        for (item, q, d, shift), pos in near.items():
+            total = len(self.templates[item][q][0]) - self.sizes[item][q] + 1
             span = min(STRETCH - WINDOW + 1, total)
             if len(pos) < self.similarity * span:
                 continue
             ok = np.zeros(total, np.int64)
-            ok[self._consistent(item, shift, sorted(pos), words, kinds)] = 1
+            ok[self._consistent(item, q, shift, sorted(pos), *sequences[d])] = 1
             sums = np.concatenate([[0], np.cumsum(ok)])
             share = float((sums[span:] - sums[:-span]).max()) / span
             if share >= self.similarity and (int(ok.sum()), share) > found.get(item, (0, 0.0)):
