@@ -100,6 +100,14 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_short_lines_go(spark):
+    """A repeated line of some words goes by itself, whatever stands around it."""
+    licence = "Printed with the kind permission of all authors"
+    rows = [(i, f"own words {i} a\n{licence}\nown words {i} b\nBest wishes") for i in range(50)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 else t.replace(f"\n{licence}", "") for i, t in rows}
+
+
 # ------------------------------------------------------------------- simhash
 def _print(text, k=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
