@@ -54,6 +54,19 @@ def test_one_key_with_many_rows_gets_pages(spark):
     assert sum("/" in s for s in sizes) >= 1000 * 40 / 2000
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    docs = spark.range(1500).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.floor(F.col("id") / 2)).alias("doc_id"),
+                                    F.when(F.col("id") % 50 != 1, F.repeat(F.lit("z"), 40)).alias("text"), (F.floor(F.col("id") / 2)).alias("n"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "null key", 1), (None, "null key", 1), (7, "y" * 5000, 1)], docs.schema))
+    for frame, folder in ((docs, "shard"), (docs.withColumn("shard", F.lit(1)).withColumn("_row", F.lit(2)), "_shard")):
+        path = str(tmp_path / folder)
+        sharding.write_shards(frame, path, 2000)
+        got = spark.read.parquet(path)
+        assert Counter(got.select(*frame.columns).collect()) == Counter(frame.collect())
+        sizes = got.groupBy(folder).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.count("*").alias("n")).collect()
+        assert all(r["bytes"] <= 2000 or r["n"] == 1 for r in sizes) and len(sizes) > 500 * 40 / 2000
+
+
 # ---------------------------------------------------------------- line dedup
 def _brute_lines(docs, min_words):
     """Delete what lies in a run of min_words words that occurs earlier."""

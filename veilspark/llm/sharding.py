@@ -81,8 +81,18 @@ def assign_shards(df: DataFrame, limit_bytes: int, key_col: str = "doc_id", text
     single rows apart."""
     scratch = scratch or Scratch(df.sparkSession, "sharding")
     key, = fresh(df, "_key")
-    rows = scratch.cut(df.select(F.col(key_col).alias(key), key_hash(F.col(key_col)).alias("h"),
-                                 F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")))
+    out = _place(df.select(F.col(key_col).alias(key), *_hash_and_bytes(key_col, text_col)), limit_bytes, key, scratch)
+    return out.select(F.col(key).alias(key_col), "n_bytes", "shard", F.col("local_depth").cast("int").alias("local_depth"),
+                      (F.col("n_bytes") > limit_bytes).alias("oversized"))
+
+
+def _hash_and_bytes(key_col: str, text_col: str) -> list[Column]:
+    return [key_hash(F.col(key_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")]
+
+
+def _place(rows: DataFrame, limit_bytes: int, key: str, scratch: Scratch) -> DataFrame:
+    """Each of ``rows(key, h, n_bytes)`` once, with ``shard`` and ``local_depth``."""
+    rows = scratch.cut(rows)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit_bytes))) + _SPARE)
     done, open_, above = [], rows, 0
@@ -108,12 +118,16 @@ def assign_shards(df: DataFrame, limit_bytes: int, key_col: str = "doc_id", text
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(F.col(key).alias(key_col), "n_bytes", "shard", F.col("local_depth").cast("int").alias("local_depth"),
-                      (F.col("n_bytes") > limit_bytes).alias("oversized"))
+    return out
 
 
 def write_shards(df: DataFrame, path: str, limit_bytes: int, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``df`` as one folder per shard (``shard=...``), keys unique."""
-    shards = assign_shards(df, limit_bytes, key_col, text_col).select(F.col(key_col).alias("_k"), "shard")
-    df.join(shards, F.col(key_col).eqNullSafe(F.col("_k"))).drop("_k") \
-        .repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write each row of ``df`` once, as one folder per shard (``shard=...``, or ``_shard=...`` where ``df`` has such a column).
+
+    Rows meet their shards by a row number that is written with them, so keys may repeat."""
+    scratch = Scratch(df.sparkSession, "sharding")
+    row, shard = fresh(df, "_row", "shard")
+    rows = scratch.cut(df.withColumn(row, F.monotonically_increasing_id()))
+    placed = _place(rows.select(row, *_hash_and_bytes(key_col, text_col)), limit_bytes, row, scratch)
+    rows.join(placed.select(row, F.col("shard").alias(shard)), row).drop(row) \
+        .repartition(shard).write.partitionBy(shard).parquet(path)
