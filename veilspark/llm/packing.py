@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, small_batches
+from .common import Scratch, byte_chars, small_batches
 
 LENGTH = 2048
 TASK_TOKENS = 8_000_000
@@ -47,14 +47,6 @@ def _plain(text: str) -> bool:
     return not ((c > 0x36F) | (c - 0x1C < 4)).any()
 
 
-def _byte_chars() -> dict[int, str]:
-    """The byte-level alphabet of such files: printable Latin-1 bytes stand for
-    themselves, the others for the code points from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 class Ids(dict):
     """Texts -> ids as little-endian bytes; the table holds word -> ids.
 
@@ -68,7 +60,7 @@ class Ids(dict):
         self.model = self.tok.model
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.chars = str.maketrans(_byte_chars())
+        self.chars = str.maketrans(byte_chars())
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def _piece(self, piece: str) -> bytes:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, line_dedup, packing, quality, rules, sharding, simhash, token_counts
+from . import decontam, html_extract, langid, line_dedup, packing, quality, rules, sharding, simhash, token_align, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -109,6 +109,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("leaks")).select("doc_id", "item_id", "windows", "share")
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups="sha256")
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -120,6 +126,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_extract": op9_html_extract,
     "op10_decontamination": op10_decontamination,
+    "op12_token_align": op12_token_align,
 }
 
 ORACLES: dict[str, str] = {
