@@ -94,6 +94,18 @@ def _got(df, **how):
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups").collect())
 
 
+def test_units_give_the_libraries_ids():
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        enc = token_align.Encoders(f.read(), g.read())
+    assert enc.a_cut and enc.b_cut
+    rnd = random.Random(9)
+    alphabet = [*" \n\t\r\x0b\x0c'stmdrevl''  aàñ1²½!?.,́漢字　😀ſİ\xa0\x85\x1c\x1f\u200b#$ ▁\x00ǅʰªº×÷ΩÐ", "<|endoftext|>", "<s>", "<0x41>", "'ve", " the", "ing", "'ll"]
+    texts = ["".join(rnd.choices(alphabet[:rnd.randint(5, len(alphabet))], k=rnd.randint(1, 40))) for _ in range(6000)]
+    a, b = enc.encode(texts)
+    assert a.to_pylist() == [e.ids for e in enc.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert b.to_pylist() == enc.b.encode(texts)
+
+
 def test_odd_texts(spark):
     rnd = random.Random(3)
     pieces = [*"abc éß漢🙂\n\t▁", " the", "ing", " 12", "<0x0A>", "…", "́", "  "]

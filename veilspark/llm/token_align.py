@@ -23,12 +23,16 @@ gives an empty result.  Other columns of the input are not used.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,12 +46,46 @@ from .common import Scratch, byte_chars, small_batches
 #: Bytes of text that are encoded and joined at a time, and that share partial counts.
 BATCH_BYTES = 2 << 20
 CHUNK_BYTES = 8 << 20
+#: Units whose ids a worker keeps for each tokenizer; beyond it the table starts anew.
+KEPT_UNITS = 800_000
+_SPACE = "\u2581"  # as sentencepiece writes a space
+# The byte-level splitter, for characters up to Latin Extended-B, whose classes all tables agree on.
+_LATIN = "\u024f"
+_A_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_W = r"\p{White_Space}"
+_A_LATIN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|{_W}+(?!\P{{White_Space}})|{_W}+")
+_B_UNITS = re.compile(r" *[^ ]+(?: +\Z)?| +")
 _B_BITS = 32  # a pair is (A id << 32) + B id
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+class _Units:
+    """Ids, as bytes, of units met of late; ``encode`` gives those of a list of new ones."""
+
+    def __init__(self, encode):
+        self.encode, self.now, self.before = encode, {}, {}
+
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.now) > KEPT_UNITS // 2:
+            self.now, self.before = {}, self.now
+        now, before, new = self.now, self.before, []
+        for u in set().union(*texts) - now.keys():
+            if u in before:
+                now[u] = before[u]
+            else:
+                new.append(u)
+        for u, ids in zip(new, self.encode(new), strict=True):
+            now[u] = array("i", ids).tobytes()
+        get = now.__getitem__
+        return [b"".join(map(get, t)) for t in texts]
+
+
 class Encoders:
-    """Both tokenizers, and the bytes of every id."""
+    """Both tokenizers, and the bytes of every id.
+
+    Texts are cut into units that no token crosses, whose ids are the
+    library's and are kept; a text for which that cannot be said goes to the
+    library whole."""
 
     def __init__(self, a_spec: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -55,22 +93,53 @@ class Encoders:
         self.a.no_padding()
         self.a.no_truncation()
         self.a.encode_special_tokens = True
-        byte_of = {c: b for b, c in byte_chars().items()}
+        chars = byte_chars()
+        byte_of = {c: b for b, c in chars.items()}
         named = {i: s for s, i in self.a.get_vocab(with_added_tokens=True).items()}
         # An added token that is no byte-level string has its own UTF-8 bytes.
         self.a_bytes = pa.array([bytes(map(byte_of.__getitem__, s)) if all(c in byte_of for c in s) else s.encode()
                                  for s in (named.get(i, "") for i in range(max(named, default=-1) + 1))], pa.large_binary())
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        self.b_bytes = pa.array([bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
-                                 else self.b.id_to_piece(i).replace("▁", " ").encode()
-                                 for i in range(self.b.get_piece_size())], pa.large_binary())
-        top = max(len(self.a_bytes), len(self.b_bytes))
-        self.decimal = pa.array(map(str, range(top)), pa.large_string())
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = pa.array([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode()
+                                 for i, p in enumerate(pieces)], pa.large_binary())
+        self.decimal = pa.array(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))), pa.large_string())
+        spec, model, table = json.loads(a_spec), self.a.model, str.maketrans(chars)
+        split = spec.get("pre_tokenizer") or {}
+        self.a_cut = (spec.get("normalizer") is None and split.get("type") == "ByteLevel"
+                      and not split.get("add_prefix_space") and split.get("use_regex", True))
+        self.a_units = _Units(lambda new: ([t.id for t in model.tokenize(u.encode().decode("latin-1").translate(table))] for u in new))
+        # No piece goes on past a space that follows another character.
+        self.b_cut = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces)
+        self.b_units = _Units(lambda new: self.b.encode([u[1:] for u in new], num_threads=1) if new else [])
+
+    def _a_cut(self, text: str) -> list[str] | None:
+        if not self.a_cut or max(text) > _LATIN:
+            return None
+        return (_A_ASCII if text.isascii() else _A_LATIN).findall(text)
+
+    def _b_cut(self, text: str) -> list[str] | None:
+        if not self.b_cut or _SPACE in text or self.b.normalize(text[1:]) != text.replace(" ", _SPACE):
+            return None
+        return _B_UNITS.findall(text)
+
+    def _a_whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _b_whole(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
 
     def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        ids = pa.large_list(pa.int32())
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return pa.array(a, ids), pa.array(self.b.encode(texts, num_threads=1), ids)
+        out = []
+        texts = [" " + t for t in texts]
+        for cut, units, whole in ((self._a_cut, self.a_units, self._a_whole), (self._b_cut, self.b_units, self._b_whole)):
+            parts = list(map(cut, texts))
+            done = iter(units.of([p for p in parts if p is not None]))
+            rest = iter(whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+            ids = [array("i", next(rest)).tobytes() if p is None else next(done) for p in parts]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+            out.append(pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+        return tuple(out)
 
 
 def _join(by: str | bytes) -> pa.Scalar:
