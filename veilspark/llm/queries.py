@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, line_dedup, packing, quality, rules, sharding, simhash, token_align, token_counts
+from . import decontam, html_extract, langid, line_dedup, packing, projection_passes, quality, rules, sharding, simhash, token_align, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -115,6 +115,26 @@ def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+#: All pairs of a label; the passes find these too.
+_OP13 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT r, vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
+      WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, x -> x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+         WHERE CASE WHEN len(a.e) = len(b.e) THEN list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93 END),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON reach.b = v.r GROUP BY a),
+deg AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v LEFT JOIN deg ON v.r = deg.a JOIN comp ON v.r = comp.a
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -127,10 +147,12 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_decontamination": op10_decontamination,
     "op12_token_align": op12_token_align,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_sharding": _OP1,
     "op3_line_dedup": _OP3,
     "op6_quality_rules": OP6,
+    "op13_embedding_dedup": _OP13,
 }
