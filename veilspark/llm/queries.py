@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, line_dedup, packing, projection_passes, quality, rules, sharding, simhash, token_align, token_counts
+from . import decontam, html_extract, langid, lexical_search, line_dedup, packing, projection_passes, quality, rules, sharding, simhash, token_align, token_counts
 from .sql_rules import OP6
 from .common import held_out, read
 
@@ -109,6 +109,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("leaks")).select("doc_id", "item_id", "windows", "share")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.rank(docs, read(spark, sf_dir, "benchmark"), top=10)
+
+
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+st AS (SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+tf AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d)
+       WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, st GROUP BY t),
+im AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))) AS x FROM tf JOIN wt USING (t), st),
+sc AS (SELECT item_id, r, doc_id, sum(x)::BIGINT AS score FROM q JOIN im USING (t) GROUP BY ALL HAVING sum(x) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM sc QUALIFY rank <= 10
+"""
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = token_align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups="sha256")
@@ -123,8 +144,8 @@ def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP13 = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT r, vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
-      WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(e, x -> x <> 0)) > 0),
+      WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
 link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
          WHERE CASE WHEN len(a.e) = len(b.e) THEN list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93 END),
 reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
@@ -146,6 +167,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_extract": op9_html_extract,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical_search": op11_lexical_search,
     "op12_token_align": op12_token_align,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
@@ -154,5 +176,6 @@ ORACLES: dict[str, str] = {
     "op1_sharding": _OP1,
     "op3_line_dedup": _OP3,
     "op6_quality_rules": OP6,
+    "op11_lexical_search": _OP11,
     "op13_embedding_dedup": _OP13,
 }
