@@ -385,14 +385,27 @@ def _decisions(clock: Clock, entry: dict[int, int]):
                 z0[0] = max(z0[0], first - base)
             ok, level, end = _decide(us, start, np.array(z0, dtype=object), clock)
             last = (k[-1], int(us[-1]), int(end[-1]) + base)
-            level = level.astype(np.float64)
-            retry = np.where(ok, 0.0, np.round((clock.cost - level) / (clock.tick * 1e6), 1))
             yield pd.DataFrame({"k": k, "ts_s": us / 1e6, "id": pdf["id"].to_numpy(), "allowed": ok,
-                                "retry_after": retry, "tokens_after": level / clock.cost})
+                                "retry_after": _retry_after(ok, level, clock), "tokens_after": level.astype(np.float64) / clock.cost})
 
     return run
 
 
+def decide_in_order(us: np.ndarray, clock: Clock, z: int | None = None, last: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """One key's next requests in order, after state ``z`` at time ``last`` -> (passes, retry_after, state)."""
+    base = int(us[0]) * clock.tick
+    start = np.concatenate([[0], np.flatnonzero(us[1:] - us[:-1] > clock.stale_us) + 1]).astype(np.int64)
+    z0 = [int(x) * clock.tick - base for x in us[start]]
+    if z is not None and int(us[0]) - last <= clock.stale_us:
+        z0[0] = max(0, z - base)
+    ok, level, end = _decide(us, start, np.array(z0, dtype=object), clock)
+    return ok, _retry_after(ok, level, clock), int(end[-1]) + base
+
+
+def _retry_after(ok: np.ndarray, level: np.ndarray, clock: Clock) -> np.ndarray:
+    return np.where(ok, 0.0, np.round((clock.cost - level.astype(np.float64)) / (clock.tick * 1e6), 1))
+
+
 def token_bucket(events: DataFrame, key_col: str = "user_id", ts_col: str = "ts", id_col: str = "event_id",
                  rpm: float = catalog.DEFAULT_RPM, burst: int = catalog.DEFAULT_BURST,
                  stale_seconds: float = catalog.BUCKET_STALE_SECONDS, partitions: int | None = None) -> DataFrame:
