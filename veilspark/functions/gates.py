@@ -1,8 +1,8 @@
 """Cheap pre-tests that let a row skip a regex that cannot match it.
 
 Each entry lists literals of which *every* match of that pattern contains at
-least one (derived from the pattern's mandatory alternatives).  The test runs
-``instr`` (a byte search) on the lower-cased text computed once per row, so
+least one (derived from the pattern's mandatory alternatives).  The test is
+``contains`` (a byte search, where ``instr`` walks code points) on the lower-cased text computed once per row, so
 a row pays one full regex scan only for patterns whose keywords it contains.
 
 Case-insensitive Unicode matching also equates four non-ASCII code points
@@ -14,6 +14,8 @@ pattern requires one.  ``tests/test_gates.py`` checks gated == ungated.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ FIRST_CHARS: dict[str, str] = {
     "POLICY_NUMBER": "pc",
 }
 
-FOLD_SPECIAL = "[\u0131\u017f\u212a\u0130]"
+FOLD_SPECIAL = "\u0131\u017f\u212a\u0130"
 _ANY_DIGIT = "(?U)\\d"
 
 
@@ -128,7 +130,7 @@ def gate(pattern: SpanPattern, text: Column, lowered: Column, special: Column, h
     hay = text if case_sensitive else lowered
     cond = None
     for lit in lits:
-        c = F.instr(hay, lit if case_sensitive else lit.lower()) > 0
+        c = hay.contains(lit if case_sensitive else lit.lower())
         cond = c if cond is None else (cond | c)
     cond = cond if case_sensitive else (cond | special)
     return (cond & has_digit) if digit else cond
@@ -136,4 +138,9 @@ def gate(pattern: SpanPattern, text: Column, lowered: Column, special: Column, h
 
 def gate_inputs(text: Column) -> tuple[Column, Column, Column]:
     """(lowered text, has-special-fold-char, has-digit) for one row."""
-    return F.lower(text), text.rlike(FOLD_SPECIAL), text.rlike(_ANY_DIGIT)
+    return F.lower(text), special_fold(text), text.rlike(_ANY_DIGIT)
+
+
+def special_fold(text: Column) -> Column:
+    """Whether the text holds one of the characters that are never gated."""
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in FOLD_SPECIAL])

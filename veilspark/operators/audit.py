@@ -28,7 +28,7 @@ def leak_found(text: Column, original: Column) -> Column:
     pattern = F.concat(F.lit("(?U)\\b"), quote_literal(original), F.lit("\\b"))
     # substring test first: the per-entry regex is compiled only when the
     # original occurs at all (rare in redacted output)
-    present = F.instr(text, original) > 0
+    present = text.contains(original)
     return F.when((F.length(original) >= catalog.MIN_LEAK_CHECK_LENGTH) & present,
                   F.rlike(text, pattern)).otherwise(F.lit(False))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import InjectionRule
-from ..functions import dialect
+from ..functions import dialect, gates
 
 
 # Mandatory literals per catalogue rule (every match contains one of them);
@@ -44,7 +44,6 @@ RULE_LITERALS: dict[str, tuple[str, ...]] = {
     "code_block_system": ("```",),
 }
 _CATALOGUE_RULES = {r.regex: r.label for r in catalog.INJECTION_RULES}
-_FOLD_SPECIAL = "[\u0131\u017f\u212a\u0130]"
 
 
 def rule_hits(lowered: Column, rules: Sequence[InjectionRule] = catalog.INJECTION_RULES,
@@ -56,7 +55,7 @@ def rule_hits(lowered: Column, rules: Sequence[InjectionRule] = catalog.INJECTIO
         if lits and special is not None:
             gate = special
             for lit in lits:
-                gate = gate | (F.instr(lowered, lit) > 0)
+                gate = gate | lowered.contains(lit)
             hit = F.when(gate, hit).otherwise(F.lit(False))
         out.append(hit)
     return out
@@ -66,7 +65,7 @@ def screen(df: DataFrame, text_col: str = "text", rules: Sequence[InjectionRule]
            threshold: float = catalog.INJECTION_THRESHOLD) -> DataFrame:
     """Adds ``injection_patterns``, ``injection_score``, ``injection_detected``."""
     staged = df.withColumn("__lower", F.lower(F.col(text_col))).withColumn(
-        "__special", F.col(text_col).rlike(_FOLD_SPECIAL))
+        "__special", gates.special_fold(F.col(text_col)))
     hits = rule_hits(F.col("__lower"), rules, F.col("__special"))
     staged = staged.select("*", *[h.alias(f"__inj_{i}") for i, h in enumerate(hits)])
     labels = F.array_compact(F.array(*[F.when(F.col(f"__inj_{i}"), F.lit(r.label)) for i, r in enumerate(rules)]))
