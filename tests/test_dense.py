@@ -79,7 +79,7 @@ def test_lost_and_broken_manifests_are_errors(spark):
                    5: (None, "a <EMAIL_1>"), 6: (H.NOT_AN_OBJECT, None)}
     vault = spark.createDataFrame([("k1", '{"placeholders": [{"placeholder": "<A_1>", "original": "x"}]}')], "redaction_id string, m string")
     outputs = spark.createDataFrame([("k1", "<A_1>"), ("k2", "<A_1>")], "redaction_id string, text string")
-    got = {r.redaction_id: (r.rehydrate_error, r.rehydrated_text) for r in H.rehydrate_json(H.vault_join(outputs, vault), "text", "m").collect()}
+    got = {r.redaction_id: (r.rehydrate_error, r.rehydrated_text) for r in H.rehydrate_json(H.vault_join(outputs, vault, "redaction_id"), "text", "m").collect()}
     assert got == {"k1": (None, "x"), "k2": (H.MISSING, None)}
     long = spark.createDataFrame([(1, "<A_1>", [("<A_1>", "y" * 5000, "A", 0, 1)])],
                                  "id long, text string, m array<struct<placeholder:string,original:string,entity_type:string,start:int,end:int>>")

@@ -47,7 +47,7 @@ def test_detect_fixtures_match_model(spark):
 def test_redact_real_documents_match_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
         "doc_id", "text", F.lit("general").alias("context"))
-    out = redact(docs, envelope=False).select("doc_id", "text", "sanitized_text", "is_valid").collect()
+    out = redact(docs, envelope=False, keep_text=True).select("doc_id", "text", "sanitized_text", "is_valid").collect()
     src = {r.doc_id: r.text for r in docs.collect()}
     n_changed = 0
     for r in out:

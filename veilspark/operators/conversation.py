@@ -6,7 +6,8 @@ rows as they were written, then of position.
 
 Detection runs once: rows with their spans are written to the shared folder
 with a row id of their own, so repeated (scope, order) keys stay apart and a
-retry sees the same ids.  Numbering then shuffles one row per distinct value.
+retry sees the same ids.  Numbering then shuffles one row per distinct value;
+a scope of any size is numbered by many tasks (``ranking.with_rank``).
 Rows of a null scope form one scope.  Rows without spans keep their text.
 """
 
@@ -14,12 +15,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
 from ..session import checkpoint_dir
 from .detect import detect_spans
+from .ranking import with_rank
 from .redact import ENTRY_TYPE, splice
 
 
@@ -34,9 +36,10 @@ def conversation_entries(df: DataFrame, scope_col: str = "conv_id", order_col: s
         "_row", "_scope", "_order", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
         F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("original"))
     first = found.groupBy("_scope", "original").agg(F.min(F.struct("_order", "_row", "start", "entity_type")).alias("f"))
-    in_turn = Window.partitionBy("_scope", "f.entity_type").orderBy("f._order", "f._row", "f.start")
-    named = first.select(F.col("_scope").alias("_s"), F.col("original").alias("_o"), F.format_string(
-        "<%s_%d>", F.col("f.entity_type"), F.row_number().over(in_turn)).alias("placeholder"))
+    placed = with_rank(first.select("_scope", "original", "f.entity_type", "f._order", "f._row", "f.start"),
+                       ["_scope", "entity_type"], ["_order", "_row", "start"], "_n")
+    named = placed.select(F.col("_scope").alias("_s"), F.col("original").alias("_o"), F.format_string(
+        "<%s_%d>", "entity_type", "_n").alias("placeholder"))
     entries = found.join(named, F.col("_scope").eqNullSafe(F.col("_s")) & (F.col("original") == F.col("_o"))) \
         .select("_row", "start", "end", "entity_type", "original", "placeholder")
     return rows.drop("_spans"), entries

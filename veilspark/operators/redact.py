@@ -112,6 +112,15 @@ def redaction_id(id_col: Column, text: Column) -> Column:
     return F.concat(F.lit("red_"), F.substring(F.sha2(F.concat_ws("\u0000", id_col.cast("string"), text), 256), 1, 8))
 
 
+#: Column that names a row's manifest in the vault.
+VAULT_KEY = "vault_key"
+
+
+def vault_key(id_col: Column, text: Column) -> Column:
+    """128 bits, deterministic in (id, text): what the vault is joined by."""
+    return F.substring(F.sha2(F.concat_ws("\u0000", F.lit("vault"), id_col.cast("string"), text), 256), 1, 32)
+
+
 def manifest(rid: Column, entries: Column, text: Column, sanitized: Column) -> Column:
     """The manifest struct (``to_json`` gives the serialised form)."""
     return F.struct(
@@ -138,15 +147,15 @@ def redact_spans(df: DataFrame, id_col: str, text_col: str, spans_col: str) -> D
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_col: str = "context",
            *, envelope: bool = True, max_bytes: int | None = catalog.MAX_INPUT_BYTES,
-           max_lines: int | None = catalog.MAX_LINE_COUNT, **detect_kw) -> DataFrame:
+           max_lines: int | None = catalog.MAX_LINE_COUNT, keep_text: bool = False, **detect_kw) -> DataFrame:
     """P11 end to end: sanitise -> screen -> NFC + detect -> number -> splice
     -> manifest -> output audit.
 
-    Output: ``id, is_valid, error, sanitized_text, manifest`` and, with
+    Output: ``id, is_valid, error, sanitized_text, manifest, vault_key`` and, with
     ``envelope``, the security fields.  Rejected rows carry a null
     ``sanitized_text``/``manifest``/injection fields and their ``error``; they
-    are never dropped.  ``text`` (the validated input) is kept for callers that need
-    it and should be dropped before writing the sanitized sink.
+    are never dropped.  The raw text is dropped, unless ``keep_text`` asks for the
+    validated input.
     """
     if context_col not in df.columns:
         df = df.withColumn(context_col, F.lit(catalog.DEFAULT_CONTEXT))
@@ -160,7 +169,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
     df = detect_spans(df, "_vtext", context_col, "__spans", raw=False, **detect_kw)
     df = redact_spans(df, id_col, "_vtext", "__spans").drop("__spans")
     df = df.withColumn("manifest", F.when(F.col("is_valid"), F.col("manifest")))
-    df = df.withColumn(text_col, F.coalesce(F.col("_vtext"), F.col(text_col))).drop("_vtext")
+    df = df.withColumn(VAULT_KEY, F.when(F.col("is_valid"), vault_key(F.col(id_col), F.col("_vtext"))))
+    df = df.withColumn(text_col, F.coalesce(F.col("_vtext"), F.col(text_col))).drop("_vtext") if keep_text else df.drop("_vtext", text_col)
     if envelope:
         df = audit.audit(df, "sanitized_text", "manifest")
         df = (df.withColumn("input_sanitized", F.size("actions") > 0)

@@ -9,6 +9,7 @@ from .. import catalog
 from ..catalog import SpanPattern
 from ..functions import spans as S
 from ..operators import detect as D
+from ..operators.external import attach_external_spans
 from ..sources import notes as N
 from ..sources import tables
 from . import sqlgen
@@ -233,25 +234,6 @@ def _external_spans(spark, sf) -> DataFrame:
         F.col("s.end").alias("end"), F.col("s.score").alias("score"))
 
 
-def attach_external_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id",
-                          out_col: str = "ext_spans") -> DataFrame:
-    """Group a long span table per document and left-join it to the corpus.
-
-    The span table is aggregated *before* the join (map-side partial
-    collect), so only one small array per document crosses the shuffle; the
-    join itself is a sort-merge on the document key (AQE may switch it).
-    """
-    per_doc = spans.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct(
-        "entity_type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-        F.col("score").cast("double").alias("score"))).alias(out_col))
-    # arrival order must not decide ties: the whole struct sorts them
-    per_doc = per_doc.withColumn(out_col, F.array_sort(F.transform(out_col, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score")))))
-    per_doc = per_doc.withColumn(out_col, F.transform(out_col, lambda s: F.struct(
-        s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
-    return docs.join(per_doc, on=id_col, how="left")
-
-
 def _ext_sql() -> str:
     gaz = _gaz_sql()
     ext = (f"SELECT note_id AS id, 'LOCATION' AS et, CAST(pos_start AS INTEGER) AS s, CAST(pos_end AS INTEGER) AS e, "
@@ -319,32 +301,42 @@ _EXT_NAMES = {"EMAIL": "EMAIL_ADDRESS", "US_PHONE": "PHONE_NUMBER", "CREDIT_CARD
 
 
 def _model_style_spans(spark, sf) -> DataFrame:
-    """A model-style span table over the corpus: e-mail/phone/card spans found
-    by a separate pass and labelled with the recogniser library's names."""
-    pats = [p for p in catalog.LAYER1_PATTERNS if p.entity_type in _EXT_NAMES]
-    d = S.with_pattern_spans(tables.documents(spark, sf).select("doc_id", "text"), "text", pats, "sp", 1, raw=True)
+    """A model-style span table over the notes: the spans of every pattern found by
+    a separate pass, three types under the recogniser library's names."""
+    d = S.with_pattern_spans(N.notes(spark, sf).select("note_id", "text"), "text", catalog.LAYER1_PATTERNS, "sp", 1, raw=True)
     names = F.create_map(*[F.lit(x) for kv in _EXT_NAMES.items() for x in kv])
-    return explode_rows(d, ["doc_id"], "sp", "s").select(
-        "doc_id", names[F.col("s.entity_type")].alias("entity_type"), F.col("s.start").alias("start"),
+    return explode_rows(d, [F.col("note_id").alias("doc_id")], "sp", "s").select(
+        "doc_id", F.coalesce(names[F.col("s.entity_type")], F.col("s.entity_type")).alias("entity_type"), F.col("s.start").alias("start"),
         F.col("s.end").alias("end"), F.col("s.score").alias("score"))
 
 
 def _canonical_sql() -> str:
-    pats = [p for p in catalog.LAYER1_PATTERNS if p.entity_type in _EXT_NAMES]
-    union = "\nUNION ALL\n".join(sqlgen.pattern_spans_sql("documents", "doc_id", "text", p, 1, i)
-                                 for i, p in enumerate(pats))
-    return (f"SELECT CAST(id AS BIGINT) AS doc_id, et AS entity_type, CAST(s AS BIGINT) AS pos_start, "
-            f"CAST(e AS BIGINT) AS pos_end FROM ({union})")
+    union = "\nUNION ALL\n".join(sqlgen.pattern_spans_sql(NOTES, "note_id", "text", p, 1, i)
+                                 for i, p in enumerate(catalog.LAYER1_PATTERNS))
+    own = {p.entity_type for p in catalog.LAYER1_PATTERNS}
+    asked = " OR ".join(f"(n.context = {sqlgen.lit(c)} AND u.et IN ({', '.join(sqlgen.lit(t) for t in sorted(_wanted(types) & own)) or 'NULL'}))"
+                        for c, types in catalog.CONTEXT_ENTITIES.items())
+    terms = ", ".join(sqlgen.lit(t) for t in catalog.ALLOW_TERMS)
+    return (f"SELECT CAST(u.id AS BIGINT) AS note_id, u.et AS entity_type, CAST(u.s AS BIGINT) AS pos_start, "
+            f"CAST(u.e AS BIGINT) AS pos_end FROM ({union}) u JOIN {NOTES} n ON n.note_id = u.id "
+            f"WHERE ({asked}) AND u.x NOT IN ({terms})")
+
+
+def _wanted(types) -> set[str]:
+    """The patterns' own names of the types that a context asks for, by the recogniser library's names."""
+    back = {v: k for k, v in _EXT_NAMES.items()}
+    return {back.get(t, t) for t in types if t not in _EXT_NAMES or t == _EXT_NAMES[t]}
 
 
 @register("type_canonical", _canonical_sql())
 def type_canonical(spark, sf):
-    """L4 (+L9 on pre-canonical names): external spans named EMAIL_ADDRESS /
-    PHONE_NUMBER come out as EMAIL / US_PHONE after the context filter."""
-    docs = attach_external_spans(tables.documents(spark, sf), _model_style_spans(spark, sf), "doc_id", "ext")
+    """L4 (+L9 on pre-canonical names, L10): external spans of all 30 types, of
+    which EMAIL_ADDRESS / PHONE_NUMBER come out as EMAIL / US_PHONE, after the
+    context filter."""
+    docs = attach_external_spans(N.notes(spark, sf).select("note_id", "text", "context"), _model_style_spans(spark, sf), "note_id", "ext")
     rec = D.filter_recogniser_side(D.external_to_spans(F.col("ext"), F.col("text")), F.col("context"))
-    out = explode_rows(docs.select("doc_id", rec.alias("rec")), ["doc_id"], "rec", "s")
-    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("s.entity_type").alias("entity_type"),
+    out = explode_rows(docs.select("note_id", rec.alias("rec")), ["note_id"], "rec", "s")
+    return out.select(F.col("note_id").cast("bigint").alias("note_id"), F.col("s.entity_type").alias("entity_type"),
                       F.col("s.start").cast("bigint").alias("pos_start"), F.col("s.end").cast("bigint").alias("pos_end"))
 
 

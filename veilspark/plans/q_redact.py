@@ -11,7 +11,7 @@ from .. import catalog
 from ..functions import dialect
 from ..operators import audit as A
 from ..operators import rehydrate as H
-from ..operators import reports
+from ..operators import reports, sinks
 from ..operators import screen as SC
 from ..operators.redact import redact
 from ..operators.sanitize import sanitize
@@ -134,24 +134,30 @@ def round_trip(spark, sf):
     return h.select(F.col("note_id").cast("bigint").alias("note_id"), "rehydrated_text")
 
 
-def _write_and_read(df: DataFrame, spark, name: str) -> DataFrame:
-    """Persist an intermediate table in the shared checkpoint folder (cuts
-    lineage; survives executor loss) and read it back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 @register("rehydrate_vault_join", f"SELECT CAST(id AS BIGINT) AS note_id, text AS rehydrated_text FROM {_NOTES_VALID}")
 def rehydrate_vault_join(spark, sf):
     """IO6 + H8: redact writes two sinks (sanitized table without PII, vault of
     manifests); a later job joins model outputs back to the vault by key and
     rehydrates."""
-    r = redacted_notes(spark, sf).select("note_id", "sanitized_text", F.col("manifest.redaction_id").alias("redaction_id"),
-                                         F.to_json("manifest").alias("manifest_json"))
-    written = _write_and_read(r, spark, "redacted_notes")  # one detection run; both sinks read their columns
-    outputs = written.select("note_id", "redaction_id", F.col("sanitized_text").alias("model_output"))
-    j = H.vault_join(outputs, written.select("note_id", "redaction_id", "manifest_json"), ["note_id", "redaction_id"])
+    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/notes-{uuid.uuid4().hex}"
+    sinks.write_redacted(redacted_notes(spark, sf), f"{base}/sanitized", f"{base}/vault", "note_id")
+    outputs = spark.read.parquet(f"{base}/sanitized").where("is_valid").select("note_id", "vault_key", F.col("sanitized_text").alias("model_output"))
+    j = H.vault_join(outputs, sinks.read_vault(spark, f"{base}/vault", "note_id"), id_col="note_id")
+    h = H.rehydrate_json(j, "model_output", "manifest_json")
+    return h.select(F.col("note_id").cast("bigint").alias("note_id"), "rehydrated_text")
+
+
+@register("rehydrate_copartitioned", f"SELECT CAST(id AS BIGINT) AS note_id, text AS rehydrated_text FROM {_NOTES_VALID}")
+def rehydrate_copartitioned(spark, sf):
+    """H8 at scale: vault and outputs bucketed by the join's key, so neither side
+    is shuffled for the join."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/notes-{uuid.uuid4().hex}"
+    sinks.write_redacted(redacted_notes(spark, sf), f"{base}/sanitized", f"{base}/vault", "note_id")
+    outputs = spark.read.parquet(f"{base}/sanitized").where("is_valid").select("note_id", "vault_key", F.col("sanitized_text").alias("model_output"))
+    names = {k: f"{k}_{uuid.uuid4().hex}" for k in ("outputs", "vault")}
+    sinks.write_bucketed(outputs, names["outputs"], f"{base}/outputs_by_key", 8, "note_id")
+    sinks.write_bucketed(sinks.read_vault(spark, f"{base}/vault", "note_id"), names["vault"], f"{base}/vault_by_key", 8, "note_id")
+    j = H.vault_join(spark.table(names["outputs"]), spark.table(names["vault"]), id_col="note_id")
     h = H.rehydrate_json(j, "model_output", "manifest_json")
     return h.select(F.col("note_id").cast("bigint").alias("note_id"), "rehydrated_text")
 
@@ -256,7 +262,7 @@ GROUP BY en.et"""
 def leak_audit(spark, sf):
     """Audit the *unredacted* text against its manifest: every original of
     5+ characters is reported as a leak, per type (audit sensitivity check)."""
-    r = redacted_notes(spark, sf).select("note_id", "text", "manifest")
+    r = redact(N.notes(spark, sf), id_col="note_id", keep_text=True).select("note_id", "text", "manifest")
     a = A.audit(r, "text", "manifest")
     w = explode_rows(a, [], "output_warnings", "w").filter(F.col("w").startswith("pii_leak:"))
     return w.select(F.substring_index("w", ":", -1).alias("entity_type")).groupBy("entity_type").agg(

@@ -49,14 +49,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def spread(df):
-    """Deal rows out round-robin over ``spark.sql.shuffle.partitions`` tasks.
-
-    For inputs kept in one file split (the small test tables), whose every row
-    is costly.  It always does the same, looks at nothing and runs nothing;
-    readers of large tables, which arrive in many splits, do not need it."""
-    if df.isStreaming:
-        return df
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

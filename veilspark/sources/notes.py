@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+
 from .tables import table
 
 # ---------------------------------------------------------------- expressions
@@ -203,7 +203,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey))
     ctx = F.create_map(*[F.lit(x) for kv in SEGMENT_CONTEXT.items() for x in kv])
-    return spread(j).select(
+    return j.select(
         F.col("o_orderkey").alias("note_id"),
         F.coalesce(ctx[F.col("c_mktsegment")], F.lit("general")).alias("context"),
         F.concat(_spark_case("c_mktsegment", SEGMENT_TEMPLATES), _spark_case("o_orderpriority", PRIORITY_TEMPLATES))

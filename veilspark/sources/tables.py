@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import catalog
-from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, context: str | None = None) -> DataFrame:
     """``(doc_id, text, context)``; the corpus carries no context column, so
     one is attached (default ``general``)."""
-    return spread(table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.lit(context or catalog.DEFAULT_CONTEXT).alias("context")
-    ))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(context or catalog.DEFAULT_CONTEXT).alias("context"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("doc_id"), F.col("html").alias("text"),
-        F.lit(catalog.DEFAULT_CONTEXT).alias("context"),
-    ))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit(catalog.DEFAULT_CONTEXT).alias("context"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,11 @@ def _run_to_table(sdf: DataFrame, name: str, output_mode: str) -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{base}/out")
+
+
+def run_batches(sdf: DataFrame, write, checkpoint: str) -> None:
+    """Run to the end with ``write(batch, batch_id)`` for each micro-batch."""
+    q = sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
