@@ -169,10 +169,69 @@ def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, ITEM, 0, 0), (1, ITEM, 0, 0), (2, None, 0, 0), (3, "", 0, 0), (None, ITEM, 0, 0), (4, "x " * 200_000 + ITEM, 0, 0)],
                                  "doc_id long, text string, item_id int, _leaks int")
     bench = spark.createDataFrame([(7, ITEM), (8, ITEM), (9, None), (10, ""), (None, ITEM), (11, "…")], "item_id long, text string")
-    for block in (decontam.BLOCK_WINDOWS, 5):  # all items together, and block by block
-        out = decontam.find_leaks(docs, bench, block_windows=block)
-        assert out.columns == [*docs.columns, "leaks"]
-        got = sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in out.collect())
-        assert got == [("1", [7, 8]), ("1", [7, 8]), ("2", []), ("3", []), ("4", [7, 8]), ("None", [7, 8])]
+    out = decontam.find_leaks(docs, bench)
+    assert out.columns == [*docs.columns, "leaks"]
+    got = sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in out.collect())
+    assert got == [("1", [7, 8]), ("1", [7, 8]), ("2", []), ("3", []), ("4", [7, 8]), ("None", [7, 8])]
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0
     assert {len(r.leaks) for r in decontam.find_leaks(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_capitals_and_number_words():
+    firm = "IBM sold 20 units to NASA in the spring and kept 5 units for eBay until the end of the term."
+    other = firm.replace("IBM", "GE").replace("NASA", "the ESA").replace("the ESA", "ESA").replace("eBay", "McDonald").replace("20", "35").replace(" 5 ", " 8 ")
+    assert _found(other, [(1, firm)]) == [1]
+    eggs = "Her hens lay 16 eggs a day and she sells the remaining eggs at the market for 2 dollars each."
+    assert _found(eggs.replace("16", "sixteen").replace("2 dollars", "three euros"), [(2, eggs)]) == [2]
+    assert _found(eggs.replace("16", "twenty-five"), [(2, eggs)]) == [2]
+    assert _found("Her cat sleeps a day and she sells old books at the fair for a few dollars each.", [(2, eggs)]) == []
+
+
+def _questions(rnd, n):
+    """Questions with slots for names, numbers and units, each of its own words."""
+    words = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 3))) for _ in range(900)]
+    for i in range(n):
+        yield [rnd.choice(words) if rnd.random() < 0.72 else rnd.choice(("{name}", "{number}", "{number} {unit}", "{org}", "{word}")) for _ in range(rnd.randint(15, 30))]
+
+
+def _filled(rnd, parts):
+    name = lambda: rnd.choice(("Anna", "Paul", "Maria Lopez", "New York", "Lyon", "Tom", "Dr Smith"))
+    out = []
+    for k, p in enumerate(parts):
+        out.append(p.format(name=name(), number=rnd.randint(2, 9999) * 10 + k, unit=rnd.choice(("km", "hours", "dollars", "kg")),
+                            org=rnd.choice(("IBM", "NASA", "ESA", "eBay")), word=rnd.choice(("sixteen", "forty", "seven", "twelve"))))
+    return " ".join(out) + "."
+
+
+def test_planted_questions_are_found(spark):
+    """Recall over re-parameterised questions, precision over texts of the same words."""
+    rnd = random.Random(31)
+    questions = list(_questions(rnd, 200))
+    items = [(i, _filled(rnd, q)) for i, q in enumerate(questions)]
+    docs, want = [], set()
+    for i, q in enumerate(questions):
+        plain = list(_questions(rnd, 1))[0]
+        docs.append((i, " ".join(plain[:8]).replace("{", "").replace("}", "") + ". " + _filled(rnd, q) + " " + " ".join(plain[8:]).replace("{", "").replace("}", "")))
+        want.add((i, i))
+        docs.append((1000 + i, _filled(rnd, plain)))
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, x.item_id) for r in found.collect() for x in r.leaks}
+    assert not {g for g in got if g[0] >= 1000}
+    recall = len(got & want) / len(want)
+    assert recall >= 0.9 and got <= want, (recall, len(got - want))
+    # a Spark join and a walk over all pairs say the same
+    brute = decontam.Items(items, 0.8)
+    assert got == {(d, i) for d, t in docs for i, *_ in brute.search(*decontam.Reader().template(t))}
+
+
+def test_one_opening_of_many_items_and_many_copies(spark):
+    """A window that all items share, and one text that a third of the documents are."""
+    rnd = random.Random(8)
+    opening = "in the following passage choose the best answer to this"
+    items = [(i, opening + " " + " ".join(f"w{rnd.randint(0, 5000)}x" for _ in range(12))) for i in range(400)]
+    docs = [(i, f"noise here {opening} w1x and so on {i}") for i in range(300)] + [(1000 + i, items[7][1]) for i in range(150)]
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in found.collect()}
+    brute = decontam.Items(items, 0.8)
+    want = {t: [i for i, *_ in brute.search(*decontam.Reader().template(t))] for t in {t for _, t in docs}}
+    assert got == {d: want[t] for d, t in docs} and want[items[7][1]] == [7]
