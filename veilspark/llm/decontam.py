@@ -64,13 +64,13 @@ _LITERAL, _NUMBER, _NAME, _UNIT, _OPENING = 0, 1, 2, 3, 4  # a capitalised word
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _DIGITS = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 _NUMBER_UNIT = re.compile(r"(\d+(?:[.,]\d+)*)([^\W\d_]+)")
-_KEPT = 300_000  # words whose readings are kept; beyond it the table starts anew
+_KEPT = 500_000  # words whose readings are kept; beyond it the table starts anew
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
 
-def _hash(s: str) -> int:
-    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+_KIND = dict.fromkeys(NUMBERS, _NUMBER) | dict.fromkeys(UNITS, _UNIT)
+_hash = xxhash.xxh64_intdigest
 
 
 _PLACEHOLDER = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>"), _hash("<name>")], np.uint64)
@@ -89,7 +89,9 @@ class Reader(dict):
     def __init__(self):
         super().__init__()
         self.n = 0
-        self._grow(1 << 12)
+        # hash of the plain word; kind (a unit only after a number); capitalised; ends its sentence
+        self.hash, self.kind, self.title, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool)
+        self.new: list[tuple[int, int, bool, bool]] = []
         self.pairs: dict[int, tuple[int, int]] = {}
         self[_LINE] = self._entry("", _BREAK, False, True)
         self.skip = self._entry("", _SKIP, False, False)
@@ -98,27 +100,27 @@ class Reader(dict):
         out = self[word] = self._read(word)
         return out
 
-    def _grow(self, size: int) -> None:
-        # hash of the plain word; kind (a unit only after a number); capitalised; ends its sentence
-        new = np.zeros(size, np.uint64), np.zeros(size, np.int8), np.zeros(size, bool), np.zeros(size, bool)
-        if self.n:
-            for a, b in zip(new, (self.hash, self.kind, self.title, self.ends), strict=True):
-                a[:self.n] = b[:self.n]
-        self.hash, self.kind, self.title, self.ends = new
-
     def _entry(self, plain: str, kind: int, title: bool, ends: bool) -> int:
-        if self.n == len(self.hash):
-            self._grow(2 * self.n)
-        i = self.n
-        self.hash[i], self.kind[i], self.title[i], self.ends[i] = _hash(plain), kind, title, ends
+        self.new.append((_hash(plain), kind, title, ends))
         self.n += 1
-        return i
+        return self.n - 1
+
+    def _settle(self) -> None:
+        """The entries of new words go to the arrays."""
+        if self.new:
+            cols = (np.array(c, old.dtype) for c, old in zip(zip(*self.new, strict=True), (self.hash, self.kind, self.title, self.ends), strict=True))
+            self.hash, self.kind, self.title, self.ends = map(np.append, (self.hash, self.kind, self.title, self.ends), cols)
+            self.new = []
 
     def _word(self, core: str, ends: bool) -> int:
         plain = core.lower()
-        kind = _UNIT if plain in UNITS else _NUMBER if plain in NUMBERS or "-" in plain and NUMBERS.issuperset(plain.split("-")) else _LITERAL
+        kind = _KIND.get(plain, _LITERAL)
+        if kind == _LITERAL and "-" in plain and NUMBERS.issuperset(plain.split("-")):
+            kind = _NUMBER
         # a single capital is more often a pronoun or an article
-        return self._entry(plain, kind, len(core) > 1 and core != plain, ends)
+        self.new.append((_hash(plain), kind, core != plain and len(core) > 1, ends))
+        self.n += 1
+        return self.n - 1
 
     def _read(self, word: str) -> int:
         """Entry of one word: the skipped one for bare punctuation, a pair for a number with its unit."""
@@ -153,6 +155,7 @@ class Reader(dict):
         parts = [(t or "").replace("\n", f" {_LINE} ").split() for t in texts]
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         i = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, len(of))
+        self._settle()
         pair = self.kind[i] == _PAIR
         if pair.any():
             i = np.array([x for e in i.tolist() for x in self.pairs.get(e, (e,))], np.int64)
