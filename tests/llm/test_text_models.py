@@ -147,6 +147,67 @@ def test_html_names_of_wrappers_do_not_empty_a_page():
     assert html_extract.main_text(f"<body><article>{story}</article>{notes}</body>", learnt) == want
 
 
+def _story(extra="", n=6):
+    text = [f"Paragraph {i} of the story goes on for some more words." for i in range(n)]
+    return "".join(f"<p>{x}</p>" for x in text[:3]) + extra + "".join(f"<p>{x}</p>" for x in text[3:]), text
+
+
+def test_html_pages_as_written():
+    learnt = html_extract.weights(*html_extract.page_counts(LAYOUT.format(open="<article>", close="</article>")))
+    inside = {  # what stands in the article and belongs to it
+        '<h2 id="related-work">Related work</h2>': "Related work", '<h2 class="related">Related work</h2>': "Related work",
+        '<p class="share-price">The price rose.</p>': "The price rose.", '<p data-id="ad">A plain line.</p>': "A plain line.",
+        '<fieldset><p>A framed line.</p></fieldset>': "A framed line.", "<p title=it's>It is said.</p>": "It is said.",
+        '<p title="a>b" x=\'c>d\'>Quoted values.</p>': "Quoted values.", '<p data-x=">" class=lead>More.</p>': "More.",
+        '<section id="popular-music">' + "".join(f"<p>Line {i} on music and those who play it.</p>" for i in range(5)) + "</section>":
+            " ".join(f"Line {i} on music and those who play it." for i in range(5)),
+        '<div class="ad-slot">Buy it</div>': None, '<aside>Aside</aside>': None, '<div class="social-share">Share</div>': None,
+        '<div class="related-articles"><a href=x>Read on</a></div>': None, '<form><p>Sign up</p></form>': None}
+    for w in (learnt, html_extract.DEFAULT):
+        for extra, said in inside.items():
+            body, text = _story(extra)
+            want = " ".join(text[:3] + ([said] if said else []) + text[3:])
+            for page in (f"<html><head><title>x</title></head><body><nav><a href=x>Menu</a></nav><article>{body}</article><footer>foot</footer></body></html>",
+                         f"<title>x</title><body><article>{body}</article><footer>foot</footer>"):
+                assert html_extract.main_text(page, w) == want, (extra, page)
+        body, text = _story()
+        want = " ".join(text)
+        for head in ("<head><title>x</title><body>", "<html><head><meta charset=utf-8><link href=a>", "<head><title>x</title>", "<head>\n<script>a<b</script>\n"):
+            assert html_extract.main_text(f"{head}<article>{body}</article>", w) == want, head
+        assert html_extract.main_text("<head><title>x</title>Bare text of a page without tags", w) == "Bare text of a page without tags"
+
+
+def test_html_deep_and_broken_pages_take_their_length():
+    import time
+    start = time.process_time()
+    text = [f"Line {i} of it." for i in range(4000)]
+    assert html_extract.main_text("<body><article>" + "".join(f"<div><p>{x}" for x in text), html_extract.DEFAULT) == " ".join(text)
+    assert html_extract.main_text("<body><article>" + "".join(f"<div class=a{i}><b><i></u></em><p>{x}" for i, x in enumerate(text[:1500])), html_extract.DEFAULT)
+    assert "end" in html_extract.main_text("<p a=" + '"\'=' * 30_000 + "><p>the end of it", html_extract.DEFAULT)
+    assert time.process_time() - start < 8
+
+
+def test_html_all_pages_against_their_blocks():
+    """Every page of the table: the article's text without markup, word for word."""
+    import html as entities
+    import re
+
+    import duckdb
+    pages = [r[0] for r in duckdb.connect().execute(f"SELECT html FROM '{SF_CHECK}/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    counts = [html_extract.page_counts(p) for p in pages]
+    learnt = html_extract.weights(sum((c[0] for c in counts if c), html_extract.Counter()), sum((c[1] for c in counts if c), html_extract.Counter()))
+    good = said = wanted = 0
+    for p in pages:
+        m = re.search(r"<article>(.*?)</article>", p, re.S)
+        plain = re.sub(r"(?s)<!--.*?-->|<(script|style|aside|nav|form)\b.*?</\1>|<div class=\"ad\">.*?</div>", " ", m[1] if m else "")
+        want = entities.unescape(re.sub(r"<(?!/?(b|i|em|strong|a|span)\b)[^>]+>", " ", plain))
+        want = re.sub(r"<[^>]+>", "", want).split()
+        got = html_extract.main_text(p, learnt).split()
+        good += sum((html_extract.Counter(want) & html_extract.Counter(got)).values())
+        said, wanted = said + len(got), wanted + len(want)
+    assert wanted and good / said > 0.99 and good / wanted > 0.99, (good / said, good / wanted)
+
+
 def test_best_region_is_the_maximum_sum():
     rng = np.random.default_rng(3)
     for _ in range(300):
