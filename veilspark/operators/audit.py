@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
+from .gazetteer import dictionary_spans
 from ..functions import dialect
 
 _SHAPE = dialect.java_fullmatch(catalog.PLACEHOLDER_SHAPE)
@@ -89,3 +90,15 @@ def audit_json(df: DataFrame, text_col: str, manifest_json_col: str) -> DataFram
     warnings = F.when(has_ph & ~is_list, not_list).otherwise(_warnings(text, structure, entry_w))
     return (staged.withColumn("output_warnings", warnings)
             .withColumn("output_valid", F.size("output_warnings") == 0).drop("__v", "__keys"))
+
+
+def leaks_across_rows(outputs: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_col: str = "sanitized_text", key: bytes | None = None,
+                      min_length: int = catalog.MIN_LEAK_CHECK_LENGTH) -> DataFrame:
+    """X5 over a corpus: values redacted in some row that stand in any output.
+
+    ``vault(original, entity_type)`` -> ``(id, entity_type, start, end)``: the
+    vault's distinct values of ``min_length`` and more are a dictionary, whose
+    keyed hashes are joined with those of the outputs' word windows.  The
+    values themselves are not in the result."""
+    values = vault.where(F.length("original") >= min_length).select(F.col("original").alias("term"), "entity_type").distinct().withColumn("score", F.lit(1.0))
+    return dictionary_spans(outputs, values, id_col, text_col, key=key).drop("score").distinct()

@@ -55,25 +55,28 @@ def canonical_type(t: Column) -> Column:
     return F.coalesce(m[t], t)
 
 
-def _recogniser_pattern(p: SpanPattern) -> SpanPattern:
-    flags, body = dialect.split_flags(p.regex)
-    merged = "".join(dict.fromkeys(RECOGNISER_FLAGS + flags))
-    return SpanPattern(p.entity_type, f"(?{merged}){body}", p.score, 0)
+def _recogniser_pattern(p: SpanPattern, flags: str = RECOGNISER_FLAGS) -> SpanPattern:
+    own, body = dialect.split_flags(p.regex)
+    merged = "".join(dict.fromkeys(flags + own))
+    return SpanPattern(p.entity_type, f"(?{merged}){body}" if merged else body, p.score, 0)
 
 
 # The last words of a text are the first ones of its reverse: anchored, so only they are read.
 _LAST_WORDS = f"(?U)\\A\\W*(?:\\w+\\W+){{0,{CONTEXT_PREFIX_WORDS - 1}}}\\w+"
 
 
-def _context_boost(spans: Column, text: Column, words: Sequence[str]) -> Column:
-    """Raise a CUSIP score when a context word is among the words before it
-    (any distance back, cut on words)."""
-    ctx = F.array(*[F.lit(w) for w in words])
+def _context_boost(spans: Column, text: Column, boosts: dict[str, Sequence[str]], amount: float, least: float) -> Column:
+    """Raise a span's score when a context word of its type is among the words
+    before it (any distance back, cut on words)."""
+    if not boosts:
+        return spans
+    ctx = F.create_map(*[x for t, words in boosts.items() for x in (F.lit(t), F.array(*[F.lit(w) for w in words]))])
+    types = list(boosts)
 
     def boost(s):
         back = F.regexp_extract(F.reverse(F.lower(F.substring(text, F.lit(1), s["start"]))), _LAST_WORDS, 0)
-        hit = (s["entity_type"] == "CUSIP") & F.arrays_overlap(F.regexp_extract_all(F.reverse(back), F.lit("(?U)\\w+"), 0), ctx)
-        new = F.least(F.lit(1.0), F.greatest(s["score"] + CUSIP_CONTEXT_BOOST, F.lit(CUSIP_CONTEXT_MIN_SCORE)))
+        hit = s["entity_type"].isin(types) & F.arrays_overlap(F.regexp_extract_all(F.reverse(back), F.lit("(?U)\\w+"), 0), ctx[s["entity_type"]])
+        new = F.least(F.lit(1.0), F.greatest(s["score"] + amount, F.lit(least)))
         sc = F.when(hit, new).otherwise(s["score"])
         return S.make_span(s["entity_type"], s["start"], s["end"], sc, s["text"], s["source"], s["ord"])
 
@@ -97,14 +100,20 @@ def _drop_contained(spans: Column) -> Column:
 
 def with_recogniser_spans(df: DataFrame, text_col: str, context_col: str, out_col: str = "rec_spans",
                           patterns: Sequence[SpanPattern] = catalog.LAYER3_PATTERNS, raw: bool = False,
-                          contexts: dict | None = None) -> DataFrame:
-    """Layer 3 financial recognisers, only for contexts that request them."""
-    pats = [_recogniser_pattern(p) for p in patterns]
+                          contexts: dict | None = None, context_words: dict[str, Sequence[str]] | None = None,
+                          boost: float = CUSIP_CONTEXT_BOOST, boosted_least: float = CUSIP_CONTEXT_MIN_SCORE,
+                          flags: str = RECOGNISER_FLAGS) -> DataFrame:
+    """Layer 3 financial recognisers, only for contexts that request them.
+    ``context_words`` (type -> words that raise its score), the ``boost``, the
+    score that a raised span has at least, and the regex ``flags`` are arguments."""
+    if context_words is None:
+        context_words = {"CUSIP": catalog.CUSIP_CONTEXT_WORDS}
+    pats = [_recogniser_pattern(p, flags) for p in patterns]
     # a recogniser whose type the row's context does not request is not run
     staged = S.with_pattern_spans(df, text_col, pats, "__rec_all", source=1, ord_offset=_L3_ORD, raw=raw,
                                   wanted=lambda et: F.array_contains(context_types(F.col(context_col), contexts), et))
     boosted = staged.withColumn(
-        "__rec_boost", _context_boost(F.col("__rec_all"), F.col(text_col), catalog.CUSIP_CONTEXT_WORDS))
+        "__rec_boost", _context_boost(F.col("__rec_all"), F.col(text_col), context_words, boost, boosted_least))
     return boosted.withColumn(out_col, _drop_contained(F.col("__rec_boost"))).drop("__rec_all", "__rec_boost")
 
 
@@ -148,11 +157,13 @@ def detect_spans(df: DataFrame, text_col: str = "text", context_col: str = "cont
                  external_col: str | None = None,
                  allow_patterns: Sequence[str] = catalog.ALLOW_PATTERNS,
                  allow_terms: Sequence[str] = catalog.ALLOW_TERMS,
-                 contexts: dict | None = None) -> DataFrame:
+                 contexts: dict | None = None, strict: bool = False) -> DataFrame:
     """N1 + R0 + L* + M1-M3 + A*: adds ``out_col`` = merged, allow-filtered
     spans (internal layout, sorted by start, non-overlapping).  Every
     catalogue (patterns, recognisers, gazetteer, allow patterns/terms,
-    context -> requested types) is an argument."""
+    context -> requested types) is an argument.  ``strict``: overlaps are resolved
+    by the best set of spans instead of the left fold, which can lose a span
+    that nothing kept overlaps."""
     if normalize:
         df = df.withColumn(text_col, nfc(F.col(text_col)))
     if context_col not in df.columns:
@@ -168,7 +179,7 @@ def detect_spans(df: DataFrame, text_col: str = "text", context_col: str = "cont
     if external_col:
         rec_parts.append(external_to_spans(F.col(external_col), F.col(text_col)))
     rec = F.concat(*rec_parts) if rec_parts else S.empty_spans()
-    merged = S.merge_fold(S.sort_spans(F.concat(
+    merged = (S.merge_best if strict else S.merge_fold)(S.sort_spans(F.concat(
         F.col("__l1"), filter_recogniser_side(rec, F.col(context_col), allow_terms, contexts))))
     temps = {"__l1", "__l3", "__gaz", "__merged"}
     out = df.select("*", merged.alias("__merged"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
 from ..operators.conversation import conversation_entries, redact_conversations
 from ..operators import reports
+from ..session import checkpoint_dir
 from ..sources import notes as N
 from ..sources import tables
 from . import sqlgen
@@ -90,6 +93,28 @@ n AS (SELECT conv_id, x, fet, row_number() OVER (PARTITION BY conv_id, fet ORDER
 FROM d JOIN n ON n.conv_id = d.conv_id AND n.x = d.x"""
 
 
+_SKETCH_SQL = f"""SELECT x.et AS entity_type, CAST(count(*) AS BIGINT) AS n, true AS distinct_within, true AS top_within
+FROM {sqlgen.detect_sql(_NOTES)} x GROUP BY x.et"""
+
+
+@register("sketched_values", _SKETCH_SQL)
+def sketched_values(spark, sf):
+    """X2 / X4 from stored sketches per month, context and type, merged over the
+    whole period: counts are exact; distinct values and the counts of the most
+    frequent ones are checked against exact rows (5 %)."""
+    d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True)
+    o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("note_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/sketches-{uuid.uuid4().hex}"
+    reports.value_sketches(d.join(o, "note_id"), ["month", "context"], "sp").write.parquet(path)
+    merged = reports.merged_sketches(spark.read.parquet(path), [])
+    exact = explode_rows(d, [], "sp", "s").groupBy(F.col("s.entity_type").alias("entity_type"), F.sha2("s.text", 256).alias("v")).agg(F.count("*").alias("c"))
+    sizes = exact.groupBy("entity_type").agg(F.count("*").alias("exact"), F.max("c").alias("most"))
+    j = merged.join(sizes, "entity_type")
+    near = lambda a, b, total: F.abs(a - b) <= 0.05 * total + 1
+    return j.select("entity_type", F.col("n").cast("bigint").alias("n"), near(F.col("n_distinct"), F.col("exact"), F.col("exact")).alias("distinct_within"),
+                    near(F.get("top", 0)["count"], F.col("most"), F.col("n")).alias("top_within"))
+
+
 def _conversations(spark, sf) -> DataFrame:
     c = tables.conversations(spark, sf)
     return c.select("conv_id", "turn", _conv_text(F.col("text"), F.col("conv_id"), F.col("turn"), F.col("role"))

@@ -35,8 +35,17 @@ def screen_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def windowed_rate(events: DataFrame, ts_col: str, flag_col: str, window: str = "1 day",
-                  watermark: str = "1 day", group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Per event-time window: number of rows and number with ``flag_col`` true."""
+                  watermark: str = "1 day", group_cols: tuple[str, ...] = (), slide: str | None = None) -> DataFrame:
+    """Per event-time window (sliding by ``slide``): number of rows and number with ``flag_col`` true."""
     w = events.withWatermark(ts_col, watermark)
-    return (w.groupBy(F.window(ts_col, window), *group_cols)
+    return (w.groupBy(F.window(ts_col, window, slide), *group_cols)
             .agg(F.count("*").alias("n"), F.sum(F.col(flag_col).cast("long")).alias("n_flagged")))
+
+
+def session_rate(events: DataFrame, ts_col: str, key_col: str, gap: str = "30 minutes", watermark: str = "1 day") -> DataFrame:
+    """Rows, first and last time of each key's sessions: rows less than ``gap`` apart.
+    A session comes out once the watermark has passed its end; until then a
+    late row may extend it or join two."""
+    w = events.withWatermark(ts_col, watermark)
+    return (w.groupBy(F.session_window(ts_col, gap), key_col)
+            .agg(F.count("*").alias("n"), F.min(ts_col).alias("first"), F.max(ts_col).alias("last")))
