@@ -109,7 +109,9 @@ def test_line_dedup_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, len(r.text), r.n_removed) for r in line_dedup.dedup_lines(df).collect())
     # null sorts first and keeps its text; equal rows are one document
-    assert got == Counter({(None, len(long), 0): 1, (1, 0, 3000): 1, (2, 0, 3000): 2, (3, 11, 0): 2})
+    assert got == Counter({(None, len(long), 0): 1, (1, 0, 3000): 1, (2, 0, 3000): 2, (3, 5, 1): 2})
+    got = Counter((r.doc_id, len(r.text), r.n_removed) for r in line_dedup.dedup_lines(df, min_words=5).collect())
+    assert got[3, 11, 0] == 2
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -117,8 +119,11 @@ def test_repeated_short_lines_go(spark):
     """A repeated line of some words goes by itself, whatever stands around it."""
     licence = "Printed with the kind permission of all authors"
     rows = [(i, f"own words {i} a\n{licence}\nown words {i} b\nBest wishes") for i in range(50)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, min_words=5).collect()}
     assert got == {i: t if i == 0 else t.replace(f"\n{licence}", "") for i, t in rows}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: t if i == 0 else t.replace(f"\n{licence}", "").replace("\nBest wishes", "") for i, t in rows}
 
 
 # ------------------------------------------------------------------- simhash
@@ -168,6 +173,22 @@ def test_components_of_links_within_two_bits(spark):
     assert {n: got.get(n, n) for n in nodes} == want
 
 
+def test_links_of_any_distance_and_segments(spark):
+    rnd = random.Random(17)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    nodes = {b for b in base}
+    for b in base:
+        for _ in range(25):
+            nodes.add(b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 6))))
+    low = rnd.getrandbits(32)
+    nodes |= {(rnd.getrandbits(32) << 32) | low for _ in range(300)}  # one segment value that many share
+    nodes = sorted(n - (1 << 64) if n >> 63 else n for n in nodes)
+    df = spark.createDataFrame([(n,) for n in nodes], "fp long")
+    for bits, segments in ((0, 2), (1, 1), (2, 2), (3, 2), (3, 4), (5, 3), (2, 5)):
+        got = {(r.a, r.b) for r in simhash.fingerprint_links(df, bits, segments).collect()}
+        assert got == {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1:] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits}, (bits, segments)
+
+
 def test_component_shapes(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1001 + i) for i in range(200)]
@@ -189,7 +210,7 @@ def test_simhash_query_equals_brute_force(spark):
 def test_near_dedup_edges(spark):
     a, b = "some words that make up a text of their own", "quite another one with none of these in it"
     rows = [(5, a), (3, a), (3, a), (None, b), (None, b), (8, None), (7, ""), (9, "word " * 100_000), (10, b + " x")]
-    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, fp int, _text_hash int")
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, _keep_id int, _keep_hash int")
     out = simhash.near_dedup(df)
     assert out.columns == df.columns
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, a), (None, b), (7, ""), (9, rows[7][1]), (10, b + " x")])

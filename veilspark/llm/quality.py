@@ -119,19 +119,20 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
           rows_per_label: int = 2000) -> Neighbours | None:
     """Fit on at most ``rows_per_label`` rows of each of the labels 0 and 1."""
     h = F.xxhash64(F.col(id_col).cast("string"))
-    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    sizes = {r["_label"]: r["count"] for r in known.where(F.col("_label").isin(0, 1)).groupBy("_label").count().collect()}
+    an_id, a_label = fresh(df, "_id", "_label")
+    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(an_id), F.col(label_col).alias(a_label))
+    sizes = {r[a_label]: r["count"] for r in known.where(F.col(a_label).isin(0, 1)).groupBy(a_label).count().collect()}
     picked = None
     for label, n in sorted(sizes.items()):
         share = min(1.0, 1.3 * rows_per_label / n + 100 / n)  # a little more than needed; the limit makes it exact
-        some = known.where((F.col("_label") == label) & (F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 20)) <= share * (1 << 20)))
-        some = some.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(rows_per_label)
+        some = known.where((F.col(a_label) == label) & (F.pmod(F.xxhash64(F.col(an_id).cast("string")), F.lit(1 << 20)) <= share * (1 << 20)))
+        some = some.orderBy(F.xxhash64(F.col(an_id).cast("string")), an_id).limit(rows_per_label)
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return None
     # At most 2 * rows_per_label ids, and one row of each.
-    rows = df.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).dropDuplicates(["_id"]).select(
-        h.alias("h"), F.col("_label").cast("int").alias("label"), F.col(text_col).alias("text"))
+    rows = df.join(F.broadcast(picked), F.col(id_col) == F.col(an_id)).dropDuplicates([an_id]).select(
+        h.alias("h"), F.col(a_label).cast("int").alias("label"), F.col(text_col).alias("text"))
 
     def count(batches):
         for pdf in batches:

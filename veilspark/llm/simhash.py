@@ -4,14 +4,17 @@ Fingerprint: A-Z in lower case, words, word shingles (repeats included) joined
 by a space; a text with fewer words is one shingle.  A bit is set if it is set
 in over half of the shingles' XXH64 values (seed 42).
 
-Search: the 64 bits fall into segments.  Each distinct fingerprint is filed
-under itself and under every key in which one segment is replaced by a member
-of its Hamming ball of radius ``max_bits / 2``, all other segments unchanged.
-Two fingerprints at most ``max_bits`` bits apart meet under a key half-way
-between them; what meets under a key is at most twice the radius apart and at
-most one ball in number (65 for two bits), so no bucket grows with the data.
-The members of a bucket are linked in a row, each link's whole distance is
-checked again, and the components of these links are those of all links.
+Search: the 64 bits fall into segments.  There is a table of the distinct
+fingerprints by the value of each segment.  Of two fingerprints at most
+``max_bits`` bits apart, some segment differs in at most ``max_bits /
+segments`` bits: each fingerprint looks up, per segment, the values of the
+Hamming ball of that radius around its own, and the whole distance to what it
+finds is checked.  Links of one segment value that many fingerprints share
+come from a join that AQE splits.  Components of the links are the groups.
+
+Two segments of 32 bits (66 values looked up at 2 bits) keep what is found
+near what is linked: a value is shared by chance by one in 2^32, where 16-bit
+segments would be shared by n / 65,536 fingerprints.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link
 like any other.  A null id never becomes a component id unless the whole
@@ -21,12 +24,12 @@ table gives an empty result.  Other columns of the input are not used.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, small_batches
@@ -77,25 +80,33 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return f(text)
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int = 2, segments: int = 4) -> DataFrame:
-    """``prints(fp)``, distinct -> ``(a, b)``: links whose components are those of
-    all pairs at most ``max_bits`` (0 or 2) apart."""
-    if max_bits not in (0, 2):
-        raise ValueError("max_bits is 0 or 2")
-    if not max_bits:
-        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    width = 64 // segments
-    # The ball of radius 1 in every segment, the rest of the fingerprint unchanged; and the fingerprint itself.
-    balls = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(segments - 1)),
-        lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                              lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), s * width + i))))
-    masks = prints.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), balls)).alias("flip"))
-    filed = masks.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")
-    # A bucket is a clique of at most one ball: linking its members in a row links them all.
-    in_turn = Window.partitionBy("key").orderBy("fp")
-    pairs = filed.select(F.lag("fp").over(in_turn).alias("a"), F.col("fp").alias("b")).where("a is not null")
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def ball(width: int, radius: int) -> list[int]:
+    """The masks of ``width`` bits with at most ``radius`` bits set."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def _each(masks: Column, segment: Column, here: Column) -> Column:
+    return F.transform(masks, lambda m: F.struct(segment.alias("segment"), F.col("fp").bitwiseXOR(m).bitwiseAND(here).alias("value")))
+
+
+def fingerprint_links(prints: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
+    """``prints(fp)``, distinct -> ``(a, b)``: all pairs at most ``max_bits`` apart, ``a < b`` as signed longs."""
+    filed, looked_up, at = [], [], 0
+    for s in range(segments):
+        width = (64 - at) // (segments - s)
+        here = F.lit(_signed(((1 << width) - 1) << at))
+        filed.append(F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseAND(here).alias("value")))
+        masks = F.array(*[F.lit(_signed(m << at)).cast("long") for m in ball(width, max_bits // segments)])
+        looked_up.append(_each(masks, F.lit(s), here))
+        at += width
+    table = prints.select(F.col("fp").alias("b"), F.inline(F.array(*filed)))
+    probes = prints.select(F.col("fp").alias("a"), F.inline(F.concat(*looked_up)))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    return probes.hint("merge").join(table, ["segment", "value"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -128,8 +139,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = groups(df, id_col, text_col, shingle, max_bits, scratch)
     first = found.groupBy("root").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("i"), F.col("_text_hash").alias("h"))).alias("m"))
-    keep = scratch.cut(first.select(F.col("m.i").alias("_keep_id"), F.col("m.h").alias("_keep_hash")))
-    th, = fresh(df, "_text_hash")
+    th, keep_id, keep_hash = fresh(df, "_text_hash", "_keep_id", "_keep_hash")
+    keep = scratch.cut(first.select(F.col("m.i").alias(keep_id), F.col("m.h").alias(keep_hash)))
     hashed = df.withColumn(th, F.xxhash64(F.col(text_col)))
-    kept = hashed.join(keep, F.col(th).eqNullSafe(F.col("_keep_hash")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    kept = hashed.join(keep, F.col(th).eqNullSafe(F.col(keep_hash)) & F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi")
     return kept.dropDuplicates([id_col, th]).select(*df.columns)
