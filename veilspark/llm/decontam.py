@@ -64,7 +64,7 @@ _LITERAL, _NUMBER, _NAME, _UNIT, _OPENING = 0, 1, 2, 3, 4  # a capitalised word
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _DIGITS = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 _NUMBER_UNIT = re.compile(r"(\d+(?:[.,]\d+)*)([^\W\d_]+)")
-_KEPT = 500_000  # words whose readings are kept; beyond it the table starts anew
+_KEPT = 400_000  # words whose readings are kept; beyond it the table starts anew
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
@@ -258,9 +258,10 @@ class Items:
                             self.at[size][h][n, q, pos] = None
         self.filters = {}
         for size, at in self.at.items():
-            f = np.zeros(1 << _FILTER_BITS, bool)
-            f[np.fromiter(at, np.uint64, len(at)) >> np.uint64(64 - _FILTER_BITS)] = True
-            self.filters[size] = f
+            bits = min(_FILTER_BITS, (64 * len(at)).bit_length())
+            f = np.zeros(1 << bits, bool)
+            f[np.fromiter(at, np.uint64, len(at)) >> np.uint64(64 - bits)] = True
+            self.filters[size] = bits, f
 
     def _consistent(self, item: int, q: int, shift: int, hits: list[int], words: np.ndarray, kinds: np.ndarray) -> list[int]:
         """Hits whose slots map one to one, in the order of the item."""
@@ -290,11 +291,11 @@ class Items:
         near: dict[tuple[int, int, int, int], set[int]] = defaultdict(set)
         sequences = _sequences(words, kinds)
         for d, (w, k) in enumerate(sequences):
-            for size, f in self.filters.items():
+            for size, (bits, f) in self.filters.items():
                 at = self.at[size]
                 for slots in _slots(k, d > 0):
                     h = _windows(w, k, size, slots)
-                    for p in np.flatnonzero(f[h >> np.uint64(64 - _FILTER_BITS)]).tolist():
+                    for p in np.flatnonzero(f[h >> np.uint64(64 - bits)]).tolist():
                         for item, q, pos in at.get(int(h[p]), ()):
                             near[item, q, d, p - pos].add(pos)
         found: dict[int, tuple[int, float]] = {}
