@@ -64,7 +64,7 @@ _LITERAL, _NUMBER, _NAME, _UNIT, _OPENING = 0, 1, 2, 3, 4  # a capitalised word
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _DIGITS = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 _NUMBER_UNIT = re.compile(r"(\d+(?:[.,]\d+)*)([^\W\d_]+)")
-_KEPT = 400_000  # words whose readings are kept; beyond it the table starts anew
+_KEPT = 600_000  # words whose readings are kept; beyond it the table starts anew
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
