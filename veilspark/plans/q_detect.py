@@ -368,3 +368,53 @@ def detect_gazetteer_join(spark, sf):
     s = dictionary_spans(N.notes(spark, sf).select("note_id", "text"), _place_terms(spark, sf), "note_id")
     return s.select(F.col("note_id").cast("bigint").alias("note_id"), "entity_type",
                     F.col("start").cast("bigint").alias("pos_start"), F.col("end").cast("bigint").alias("pos_end"))
+
+
+# --------------------------------------------------------------- best overlaps
+@register("merge_best_sets", _long_sql(f"SELECT * FROM {sqlgen.detect_sql(NOTES, merge=sqlgen.best_sql)}"))
+def merge_best_sets(spark, sf):
+    """M3, strict: overlapping spans resolved by the best non-overlapping set
+    (scores, then characters), where the fold would lose a span."""
+    d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", strict=True)
+    return _long(d, "note_id", "sp")
+
+
+# ------------------------------------------------------------------ allow terms
+_WORD = SpanPattern("PERSON", r"\w+", 0.85)
+_ALLOW_TERMS_SQL = f"""SELECT context, x AS value, CAST(count(*) AS BIGINT) AS n
+FROM ({sqlgen.pattern_spans_sql(NOTES, "note_id", "text", _WORD, 1, 0)}) w JOIN {NOTES} n ON n.note_id = w.id
+WHERE x NOT IN ({", ".join(sqlgen.lit(t) for t in catalog.ALLOW_TERMS)}) GROUP BY 1, 2"""
+
+
+@register("allow_terms", _ALLOW_TERMS_SQL)
+def allow_terms(spark, sf):
+    """A model that takes every word for a person; the allow terms among
+    them are not passed on, in any context."""
+    notes = N.notes(spark, sf).select("note_id", "text", "context")
+    w = S.with_pattern_spans(notes.select("note_id", "text"), "text", [_WORD], "sp", 1, raw=True, gated=False)
+    spans = explode_rows(w, [F.col("note_id").alias("doc_id")], "sp", "s").select(
+        "doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.score").alias("score"))
+    docs = attach_external_spans(notes, spans, "note_id", "ext")
+    rec = D.filter_recogniser_side(D.external_to_spans(F.col("ext"), F.col("text")), F.col("context"))
+    out = explode_rows(docs.select("context", rec.alias("rec")), ["context"], "rec", "s")
+    return out.groupBy("context", F.col("s.text").alias("value")).agg(F.count("*").cast("bigint").alias("n"))
+
+
+# ------------------------------------------------------------- refused requests
+_REFUSED_SQL = f"""SELECT CAST(doc_id AS BIGINT) AS doc_id,
+       CASE WHEN t IS NULL THEN 'missing_text' WHEN length(t) > {catalog.MAX_REQUEST_CHARS} THEN 'text_too_long'
+            WHEN coalesce(context, 'general') NOT IN ({', '.join(sqlgen.lit(c) for c in catalog.CONTEXT_ENTITIES)}) THEN 'unknown_context' END AS reject_reason,
+       CAST(coalesce(length(t), 0) AS BIGINT) AS n_chars
+FROM (SELECT doc_id, CASE WHEN n_chars > 20000 THEN repeat(text, 60) WHEN n_chars % 5 > 0 THEN text END AS t,
+             CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANG_CONTEXT.items())} END AS context FROM documents)"""
+
+
+@register("requests_refused", _REFUSED_SQL)
+def requests_refused(spark, sf):
+    """IO2, every arm: requests without a text, with too long a one, with a
+    context outside the set, and those that pass (no reason)."""
+    ctx = F.create_map(*[F.lit(x) for kv in _LANG_CONTEXT.items() for x in kv])
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    text = F.when(F.col("n_chars") > 20000, F.repeat("text", 60)).when(F.col("n_chars") % 5 > 0, F.col("text"))
+    r = tables.tag_requests(d.select("doc_id", text.alias("text"), ctx[F.col("lang")].alias("context")))
+    return r.select(F.col("doc_id").cast("bigint").alias("doc_id"), "reject_reason", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))

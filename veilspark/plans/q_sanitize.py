@@ -122,7 +122,7 @@ _NFC_SQL = ("SELECT CAST(doc_id AS BIGINT) AS doc_id, nfc_normalize(replace(text
 
 @register("nfc_normalize", _NFC_SQL)
 def nfc_normalize(spark, sf):
-    """NFC in the JVM (ICU via java_method), only for rows that can change."""
+    """NFC, only for rows that can change."""
     d = tables.table(spark, sf, "documents").select(
         "doc_id", F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")).alias("text"))
     return d.select("doc_id", normalize.nfc(F.col("text")).alias("text_out"))

@@ -10,7 +10,7 @@ builder says so.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from .. import catalog
 from ..catalog import SpanPattern
@@ -111,12 +111,31 @@ def merged_sql(spans: str) -> str:
              FROM ({spans}) GROUP BY id)))"""
 
 
+def best_sql(spans: str) -> str:
+    """The best non-overlapping set per id (largest score, then most characters):
+    dynamic programming over the spans by their ends; columns as ``merged_sql``."""
+    core = "{'s': s, 'e': e, 'sc': sc, 'src': src, 'o': o, 'et': et, 'x': x}"
+    none = "{'s': 0, 'e': 0, 'sc': 0.0::DOUBLE, 'src': 0, 'o': 0, 'et': '', 'x': ''}"
+    first = "{'e': -1::BIGINT, 'sc': 0.0::DOUBLE, 'ch': 0::BIGINT, 'kept': list_filter([" + none + "], lambda q: false)}"
+    before = "list_filter(acc.dp, lambda t: t.e <= y.y.s)[-1]"
+    with_ = f"round({before}.sc + y.y.sc, 9)"
+    chars = f"({before}.ch + y.y.e - y.y.s)"
+    better = f"({with_} > acc.dp[-1].sc OR ({with_} = acc.dp[-1].sc AND {chars} > acc.dp[-1].ch))"
+    step = (f"lambda acc, y: {{'dp': list_append(acc.dp, CASE WHEN {better} THEN {{'e': y.y.e::BIGINT, 'sc': {with_}, 'ch': {chars}::BIGINT, "
+            f"'kept': list_append({before}.kept, y.y)}} ELSE {{'e': y.y.e::BIGINT, 'sc': acc.dp[-1].sc, 'ch': acc.dp[-1].ch, 'kept': acc.dp[-1].kept}} END), 'y': y.y}}")
+    return f"""(SELECT id, kept.s AS s, kept.e AS e, kept.sc AS sc, kept.src AS src, kept.o AS o,
+        kept.et AS et, kept.x AS x
+ FROM (SELECT id, unnest(list_reduce(list_prepend(l[1], l), {step}).dp[-1].kept) AS kept
+       FROM (SELECT id, list({{'dp': [{first}], 'y': {core}}} ORDER BY e, s, -sc, src, o, et, x) AS l
+             FROM ({spans}) GROUP BY id)))"""
+
+
 def allow_condition(x: str) -> str:
     return "(" + " OR ".join(f"regexp_full_match({x}, {lit(re2_full(p))})" for p in catalog.ALLOW_PATTERNS) + ")"
 
 
 def detect_sql(src: str, id_col: str = "note_id", text_col: str = "text", context_col: str = "context",
-               layer3: bool = True, extra_rec: str | None = None) -> str:
+               layer3: bool = True, extra_rec: str | None = None, merge: Callable[[str], str] = merged_sql) -> str:
     """Merged, allow-filtered spans (id, s, e, sc, src, o, et, x)."""
     parts = [spans_union_sql(src, id_col, text_col, catalog.LAYER1_PATTERNS, 0)]
     if layer3:
@@ -124,7 +143,7 @@ def detect_sql(src: str, id_col: str = "note_id", text_col: str = "text", contex
     if extra_rec:
         parts.append(extra_rec)
     spans = "\nUNION ALL\n".join(parts)
-    return f"(SELECT * FROM {merged_sql(spans)} WHERE NOT {allow_condition('x')})"
+    return f"(SELECT * FROM {merge(spans)} WHERE NOT {allow_condition('x')})"
 
 
 def entries_sql(detected: str) -> str:
