@@ -27,7 +27,14 @@ def _brute(spark, docs, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     v = langid.text_vectors([t or "" for _, t in rows])
     cos = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)) @ protos.T
-    rows = [r for r, c, x in zip(rows, cos.max(axis=1), v) if x.any() and c >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+    texts = [r.text for r in docs.where(~held_out()).where("lang is not null").collect()]
+    used = set("".join(t or "" for t in texts).lower())
+
+    def short(t):
+        letters = [c for c in t.lower() if c.isalpha()]
+        return len(letters) < corpus_pipeline.SHORT_LETTERS and 2 * sum(c in used for c in letters) >= len(letters)
+
+    rows = [r for r, c, x in zip(rows, cos.max(axis=1), v) if x.any() and (c >= corpus_pipeline.MIN_LANGUAGE_SCORE or short(r[1]))]
     out = [sorted(rows)]
     cleaned = _brute_lines(rows, line_dedup.MIN_WORDS)
     rows = [(i, cleaned[i, t]) for i, t in rows if cleaned[i, t]]
@@ -68,3 +75,16 @@ def test_pipeline_edges(spark):
     assert 9001 not in left and 9002 not in left and 9004 not in left and left.count(9003) == 2 and None in left
     assert sum(r.text == some for r in got[2].collect()) == 1
     assert [f.count() for f in _stages(spark, docs.limit(0), SF_SMALL)] == [0] * 5
+
+
+def test_language_stage_rejects_unseen_scripts_and_keeps_short_texts(spark):
+    docs = read(spark, SF_SMALL, "documents").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    alien = [" ".join("".join(chr(a + int(c)) for c in rng.integers(0, w, 6)) for _ in range(n))
+             for a, w in ((0x430, 32), (0x3B1, 24), (0x5D0, 27), (0x4E00, 3000)) for n in (1, 2, 5, 20, 200) for _ in range(10)]
+    kept = ["Avec.", "A.", "All rights reserved.", "Edrere."]
+    rows = [(10_000 + i, t, None) for i, t in enumerate(alien)] + [(20_000 + i, t, None) for i, t in enumerate(kept)]
+    out = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF_SMALL)
+    ids = {r.doc_id for r in out.collect()}
+    assert not [i for i in ids if 10_000 <= i < 20_000]
+    assert {i for i in ids if i >= 20_000} == {20_000 + i for i in range(len(kept))}

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, small_batches
@@ -123,21 +123,51 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def learn_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
-                   rows_per_language: int = 2000, max_languages: int = 1000) -> dict[str, np.ndarray]:
-    """Language -> prototype (unit vector), from about ``rows_per_language``
-    rows of each language, chosen by a hash of ``key_col`` (all of them where
-    there are no more).  More than ``max_languages`` labels is an error: the
-    prototypes go to every task."""
+def _learning_rows(df: DataFrame, text_col: str, lang_col: str, key_col: str, rows_per_language: int, max_languages: int) -> DataFrame | None:
+    """``(lang, text)`` of about ``rows_per_language`` rows a language, by a hash of the key."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(key_col).cast("string").alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} language labels")
     if not sizes:
-        return {}
+        return None
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, rows_per_language / n)])
     picked = rows.where((F.xxhash64("k") % (1 << 20) + (1 << 20)) % (1 << 20) < F.element_at(share, F.col("lang")) * (1 << 20))
+    return picked.select("lang", "text")
+
+
+def learn_letters(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
+                  rows_per_language: int = 2000, max_languages: int = 1000, least: float = 0.01) -> str:
+    """The letters, lower-cased and in order, that at least the share ``least``
+    of some language's learning rows hold ('' without such rows)."""
+    picked = _learning_rows(df, text_col, lang_col, key_col, rows_per_language, max_languages)
+    if picked is None:
+        return ""
+    letters = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}"), F.lit(0))))
+    n = picked.groupBy("lang").agg(F.count("*").alias("rows"))
+    held = picked.select("lang", letters.alias("letter")).groupBy("lang", "letter").agg(F.count("*").alias("n"))
+    # at most 1 / least times a text's distinct letters, per language
+    found = held.join(n, "lang").where(F.col("n") >= least * F.col("rows")).select("letter").distinct().collect()
+    return "".join(sorted(r["letter"] for r in found))
+
+
+def known_letters(text: Column, letters: str) -> tuple[Column, Column]:
+    """Letters of a text, and how many of them are among ``letters``."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    own = F.length(F.regexp_replace(low, r"[^\p{L}]+", ""))
+    return own, F.length(F.regexp_replace(low, f"[^{letters}]+", "")) if letters else F.lit(0)
+
+
+def learn_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
+                   rows_per_language: int = 2000, max_languages: int = 1000) -> dict[str, np.ndarray]:
+    """Language -> prototype (unit vector), from about ``rows_per_language``
+    rows of each language, chosen by a hash of ``key_col`` (all of them where
+    there are no more).  More than ``max_languages`` labels is an error: the
+    prototypes go to every task."""
+    picked = _learning_rows(df, text_col, lang_col, key_col, rows_per_language, max_languages)
+    if picked is None:
+        return {}
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -150,7 +180,7 @@ def learn_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     small_batches(df.sparkSession)
     # Bounded rows by now (rows_per_language x languages): a few even tasks.
-    parts = picked.select("lang", "text").repartition(8).mapInPandas(sums, "lang string, v array<double>").collect()
+    parts = picked.repartition(8).mapInPandas(sums, "lang string, v array<double>").collect()
     total: dict[str, np.ndarray] = {}
     for r in sorted(parts, key=lambda r: (r["lang"], r["v"])):
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
