@@ -16,16 +16,24 @@ from pyspark.sql import functions as F
 from veilspark.llm import decontam, langid, line_dedup, packing, simhash
 from veilspark.llm.common import Scratch, fresh, held_out, read
 
-#: Cosine below which a text resembles no language's profile (chance is about 0.03).
-MIN_LANGUAGE_SCORE = 0.05
+#: Cosine below which a text resembles no language's profile: four deviations
+#: of what chance gives (1 / sqrt(dimensions)).
+MIN_LANGUAGE_SCORE = 4 / langid.DIM ** 0.5
+#: Texts of fewer letters have too few trigrams for that; their letters decide.
+SHORT_LETTERS = 32
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no known language, go."""
+    """Documents without a letter, or like no known language, go.  A text of
+    fewer than ``SHORT_LETTERS`` letters stays, whatever its cosine, if at least
+    half of them are letters that the learning rows use."""
     lang, score = fresh(docs, "_lang_pred", "_lang_score")
-    profiles = langid.learn_profiles(docs.where(~held_out()))
+    learning = docs.where(~held_out())
+    profiles = langid.learn_profiles(learning)
+    n, known = langid.known_letters(F.col("text"), langid.learn_letters(learning))
     found = langid.identify(docs, profiles, lang_out=lang, score_out=score)
-    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    like = F.when(F.col(lang) == langid.UNKNOWN, False).when(F.col(score) >= MIN_LANGUAGE_SCORE, True).otherwise((n < SHORT_LETTERS) & (2 * known >= n))
+    return found.where(like).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
