@@ -19,6 +19,12 @@ def file_stream(spark: SparkSession, path_glob: str, schema, max_files: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path_glob)
 
 
+def files_for_all_tasks(spark: SparkSession) -> int:
+    """Files of a micro-batch of a map-only stream: enough that every task slot
+    has some.  Streams that depend on the order of arrival take one at a time."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 @contextmanager
 def settings(spark: SparkSession, conf: dict[str, str]):
     """Session settings for as long as a query is started and runs."""
