@@ -235,3 +235,34 @@ def test_one_opening_of_many_items_and_many_copies(spark):
     brute = decontam.Items(items, 0.8)
     want = {t: [i for i, *_ in brute.search(*decontam.Reader().template(t))] for t in {t for _, t in docs}}
     assert got == {d: want[t] for d, t in docs} and want[items[7][1]] == [7]
+
+
+def test_merging_looks_up_only_pairs_that_changed():
+    with open(BYTES, encoding="utf-8") as f:
+        machine = token_counts.CountingTransducer(f.read())
+    merge = machine.merge
+
+    class Ranks(dict):
+        asked = 0
+
+        def get(self, *a):
+            Ranks.asked += 1
+            return super().get(*a)
+
+    ranks = machine.ranks
+    machine.ranks = Ranks(ranks)
+    rng = random.Random(5)
+    for word in [b"", b"a", *(bytes(rng.choice(b"the rain \xc3\xa9019xz") for _ in range(rng.randint(2, 300))) for _ in range(60))]:
+        Ranks.asked = 0
+        parts = merge(word)
+        assert Ranks.asked <= 3 * len(word)
+        # plain statement: the least rank, leftmost first, of all pairs each time
+        plain = [word[i:i + 1] for i in range(len(word))]
+        while pairs := [(ranks[p], i) for i, p in enumerate(zip(plain, plain[1:], strict=False)) if p in ranks]:
+            i = min(pairs)[1]
+            plain[i:i + 2] = [plain[i] + plain[i + 1]]
+        assert parts == plain
+        # an edge is given up as soon as a pair is merged across it, and only then
+        ends = {sum(map(len, plain[:k])) for k in range(len(plain) + 1)}
+        for edge in range(1, len(word)):
+            assert (merge(word, edge) is None) == (edge not in ends)

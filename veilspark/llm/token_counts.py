@@ -132,15 +132,28 @@ class CountingTransducer:
         self.numbers = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, int]] = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain BPE: the pair of least rank first, leftmost first."""
+    def merge(self, data: bytes, edge: int = 0) -> list[bytes] | None:
+        """Plain BPE: the pair of least rank first, leftmost first.  None as soon
+        as a pair is merged across ``edge`` (0: none is)."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))))
-            if best[0] == 1 << 60:
+        rank, none = self.ranks.get, 1 << 60
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            i = best[1]
+            i = ranks.index(best)
+            if i < edge:
+                edge -= 1
+                if i == edge:
+                    return None
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            # only the pairs with the new part have other ranks
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def _whole(self, t: bytes) -> bool:
@@ -155,7 +168,7 @@ class CountingTransducer:
         if ok is None:
             if len(self.pairs) > _MOVES:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = not a or self.merge(a + b) == [a, b]
+            ok = self.pairs[a, b] = not a or self.merge(a + b, len(a)) == [a, b]
         return ok
 
     def _move(self, state: int, byte: int) -> tuple[int, int]:
@@ -171,7 +184,7 @@ class CountingTransducer:
         while read not in self.prefixes:
             read = read[1:]
         last, count = last[-len(read) - 1:], count[-len(read) - 1:]
-        key = (read, last, tuple(c - count[-1] for c in count))
+        key = (read, last, tuple([c - count[-1] for c in count]))
         n = self.numbers.get(key)
         if n is None:
             n = self.numbers[key] = len(self.states)
@@ -195,16 +208,19 @@ class CountingTransducer:
         if not text:
             return 0
         at = token_starts(text).tolist()
-        counts, total = self.counts, 0
-        for a, b in zip(at, [*at[1:], len(text)], strict=True):
-            p = text[a:b]
-            n = counts.get(p)
-            if n is None:
-                if len(counts) > _CACHED:
-                    counts.clear()
-                n = counts[p] = self._pretoken(p)
-            total += n
-        return total
+        counts = self.counts
+        pieces = [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+        found = [*map(counts.get, pieces)]
+        if None in found:
+            new: dict[str, int] = {}
+            for i, p in enumerate(pieces):
+                if found[i] is None:
+                    n = new.get(p)
+                    found[i] = n if n is not None else new.setdefault(p, self._pretoken(p))
+            if len(counts) > _CACHED:
+                counts.clear()
+            counts.update(new)
+        return sum(found)
 
     def complete(self, text: str) -> int:
         """Tokens of a whole text, special strings as one token each."""
