@@ -43,3 +43,13 @@ def test_a_quiet_key_starts_anew(spark):
     batches = [[(1, 0, 7), (2, 1, 7), (3, 2, 7)], [(4, 4000, 8)], [(5, 4001, 7), (6, 4002, 7), (7, 4003, 7)], [(-1, 20_000, 99)]]
     got = {r.id: r.allowed for r in _run(spark, batches, "quiet", rpm=1, burst=2, watermark="10 seconds").where(F.col("id") > 0).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False}
+
+
+def test_rows_of_a_micro_batch_wait_as_one_entry(spark):
+    """Each entry of list state is pickled, parsed and written by itself."""
+    late = [(100 + i, 5000 + i, u) for u in (7, 8) for i in range(40)]
+    out = _run(spark, [[(i, i, 7) for i in range(30)], late], "packed", rpm=60, burst=2, watermark="10 seconds")
+    assert sorted(r.id for r in out.collect()) == sorted([*range(30), *(i for i, s, _ in late if s <= 5029)])
+    chk = out.inputFiles()[0].split("/out/")[0] + "/chk"
+    state = spark.read.format("statestore").option("path", chk).option("stateVarName", "waiting").load()
+    assert sorted(r.key.k for r in state.select("key").collect()) == ["7", "8"]
