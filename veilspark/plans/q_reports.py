@@ -101,8 +101,12 @@ FROM {sqlgen.detect_sql(_NOTES)} x GROUP BY x.et"""
 def sketched_values(spark, sf):
     """X2 / X4 from stored sketches per month, context and type, merged over the
     whole period: counts are exact; distinct values and the counts of the most
-    frequent ones are checked against exact rows (5 %)."""
-    d = D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True)
+    frequent ones are checked against exact rows (5 %).  Notes are detected once:
+    their spans are a written table, without texts, that both sides read."""
+    kept = f"{checkpoint_dir(spark).rstrip('/')}/tables/spans-{uuid.uuid4().hex}"
+    D.detect_spans(N.notes(spark, sf), "text", "context", "sp", raw=True).select("note_id", "context", F.transform(
+        "sp", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["text"].alias("text"))).alias("sp")).write.parquet(kept)
+    d = spark.read.parquet(kept)
     o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("note_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/sketches-{uuid.uuid4().hex}"
     reports.value_sketches(d.join(o, "note_id"), ["month", "context"], "sp").write.parquet(path)
